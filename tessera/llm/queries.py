@@ -19,6 +19,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op7_toxicity": op7_toxicity}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import store, warc
+
+    pages = warc.mark_revisits(_read(spark, sf_dir, "pages"), least_bytes=0)
+    files = store.materialise(warc.write_archives(pages, store.fresh_path(spark, "warc")), "warc-files")
+    tasks = max(1, files.count())
+    return warc.read_archives(files.repartition(tasks), keep_payload=False).drop("payload")
+
+
+QUERIES = {"op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
 #: None of these can be put in SQL except where given here.
 ORACLES: dict[str, str] = {}
