@@ -28,6 +28,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(files.repartition(tasks), keep_payload=False).drop("payload")
 
 
-QUERIES = {"op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from tessera.llm import store, tokenfiles
+
+    encoded = tokenfiles.encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    encoded = store.materialise(encoded, "encoded")
+    files = store.materialise(tokenfiles.write_shards(encoded, store.fresh_path(spark, "hufids")), "hufids-files")
+    return tokenfiles.read_shards(files).drop("ids")
+
+
+QUERIES = {"op6_token_files": op6_token_files, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
 #: None of these can be put in SQL except where given here.
 ORACLES: dict[str, str] = {}
