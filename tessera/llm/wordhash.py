@@ -53,9 +53,9 @@ def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
         col = col.combine_chunks()
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.string())
-    col = col.cast(pa.large_string())
+    col = col.cast(pa.large_binary())
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"")
     _, offs, data = col.buffers()
     offs = np.frombuffer(offs, np.int64, len(col) + 1, col.offset * 8) if len(col) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
