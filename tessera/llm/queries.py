@@ -45,6 +45,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op8_byte_bpe": op8_byte_bpe, "op6_token_files": op6_token_files, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import pii
+
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_pii": op3_pii, "op8_byte_bpe": op8_byte_bpe, "op6_token_files": op6_token_files, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
 #: None of these can be put in SQL except where given here.
 ORACLES: dict[str, str] = {}
