@@ -51,6 +51,18 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_pii": op3_pii, "op8_byte_bpe": op8_byte_bpe, "op6_token_files": op6_token_files, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import multiindex
+
+    return multiindex.nearest(_read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import covertree
+
+    return covertree.exact_top_k(_read(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
+
+
+QUERIES = {"op9_cover_tree": op9_cover_tree, "op2_multi_index": op2_multi_index, "op3_pii": op3_pii, "op8_byte_bpe": op8_byte_bpe, "op6_token_files": op6_token_files, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
 #: None of these can be put in SQL except where given here.
 ORACLES: dict[str, str] = {}
