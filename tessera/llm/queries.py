@@ -63,6 +63,14 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.exact_top_k(_read(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
 
 
-QUERIES = {"op9_cover_tree": op9_cover_tree, "op2_multi_index": op2_multi_index, "op3_pii": op3_pii, "op8_byte_bpe": op8_byte_bpe, "op6_token_files": op6_token_files, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import mixing
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    _, plans = mixing.plan(docs, entropy_share=0.97, max_repetition=4.0)
+    return mixing.assign(docs, plans).select("doc_id", "source", "n_tokens", "weight", "copies", "block", "place")
+
+
+QUERIES = {"op4_mixing": op4_mixing, "op9_cover_tree": op9_cover_tree, "op2_multi_index": op2_multi_index, "op3_pii": op3_pii, "op8_byte_bpe": op8_byte_bpe, "op6_token_files": op6_token_files, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
 #: None of these can be put in SQL except where given here.
 ORACLES: dict[str, str] = {}
