@@ -71,6 +71,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(docs, plans).select("doc_id", "source", "n_tokens", "weight", "copies", "block", "place")
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op9_cover_tree": op9_cover_tree, "op2_multi_index": op2_multi_index, "op3_pii": op3_pii, "op8_byte_bpe": op8_byte_bpe, "op6_token_files": op6_token_files, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import ngramjoin
+
+    return ngramjoin.near_duplicates(_read(spark, sf_dir, "documents"), ngramjoin.Rule(size=3, num=90, den=100))
+
+
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op4_mixing": op4_mixing, "op9_cover_tree": op9_cover_tree, "op2_multi_index": op2_multi_index, "op3_pii": op3_pii, "op8_byte_bpe": op8_byte_bpe, "op6_token_files": op6_token_files, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
 #: None of these can be put in SQL except where given here.
 ORACLES: dict[str, str] = {}
