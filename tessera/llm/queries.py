@@ -77,6 +77,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(_read(spark, sf_dir, "documents"), ngramjoin.Rule(size=3, num=90, den=100))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op4_mixing": op4_mixing, "op9_cover_tree": op9_cover_tree, "op2_multi_index": op2_multi_index, "op3_pii": op3_pii, "op8_byte_bpe": op8_byte_bpe, "op6_token_files": op6_token_files, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import substrings
+
+    return substrings.drop_repeats(_read(spark, sf_dir, "documents"), width=35).drop("kept")
+
+
+QUERIES = {"op10_substrings": op10_substrings, "op1_ngram_join": op1_ngram_join, "op4_mixing": op4_mixing, "op9_cover_tree": op9_cover_tree, "op2_multi_index": op2_multi_index, "op3_pii": op3_pii, "op8_byte_bpe": op8_byte_bpe, "op6_token_files": op6_token_files, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
 #: None of these can be put in SQL except where given here.
 ORACLES: dict[str, str] = {}
