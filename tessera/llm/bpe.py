@@ -228,15 +228,14 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encode, decode the ids, and keep counts and digests of both sides."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """Encode, decode the ids, and keep counts and digests of both sides (and the ids themselves, if asked)."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches):
         for part, ids in _encoded(batches, ranks_path, pattern):
             back = codec(ranks_path, pattern).decode(ids)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            digests = [pa.array([hashlib.sha256(x).hexdigest() for x in side]) for side in (ids, back)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), *digests, *[pa.array(ids, pa.binary())] * keep_ids], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
