@@ -2,12 +2,14 @@
 
 The tokenizer's pre-tokenizer never joins across ASCII white space, and its normalizer
 (NFC, white space folding, lower case) composes nothing across it.  So each distinct
-chunk between white space is encoded once per task through the library and its ids
-are reused; the ids are those of encoding the whole text.
+chunk between white space is encoded once per worker through the library and its ids
+are reused; the ids are those of encoding the whole text.  A chunk of letters and a
+tail of "." and "," is two pre-tokens, encoded apart.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -17,13 +19,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm import huffman, store, wordhash
 
-#: Distinct chunks a task remembers before it starts afresh (about 60 MB).
-CACHE_CHUNKS = 300_000
+#: Distinct chunks and words, each, that a worker remembers; the older half goes when full.
+CACHE_CHUNKS = 500_000
 #: Ids in a shard file, about.
 SHARD_IDS = 4 << 20
 
 
 class ChunkEncoder:
+    """Ids of texts by way of their distinct chunks; one per Python worker, whatever tasks it serves."""
+
     def __init__(self, tokenizer_path: str):
         import os
 
@@ -31,30 +35,76 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
-        if self._tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self._tokenizer.get_vocab()
+        if len(vocabulary) > 1 << 16:
             raise ValueError("ids are kept in 16 bits; this vocabulary is larger")
-        self._known: dict[bytes, bytes] = {}
+        self._closes = np.zeros(1 << 16, bool)  # ids that end a pre-token
+        self._closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._chunks: dict[bytes, bytes] = {}
+        self._words: dict[str, bytes] = {}
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        got = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(g.ids, "<u2").tobytes() for g in got]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters only are each one pre-token, so many are encoded as one text and cut at the closing ids."""
+        for k in range(0, len(words), 256 * 64):
+            groups = [words[g : g + 256] for g in range(k, min(k + 256 * 64, len(words)), 256)]
+            for group, raw in zip(groups, self._plain([" ".join(g) for g in groups]), strict=True):
+                cut = (2 * (np.flatnonzero(self._closes[np.frombuffer(raw, "<u2")]) + 1)).tolist()
+                if len(cut) == len(group):
+                    self._words.update((w, raw[a:b]) for w, a, b in zip(group, [0, *cut], cut, strict=False))
+                else:
+                    self._words.update(zip(group, self._plain(group), strict=True))
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        parts: list[tuple[bytes, str, str]] = []
+        whole: list[bytes] = []
+        for chunk in chunks:
+            text = chunk.decode()
+            word = text.rstrip(".,")
+            if word.isalpha() and word.lower().isalpha() and unicodedata.is_normalized("NFC", word):
+                parts.append((chunk, word.lower() if word.isascii() else word, text[len(word) :]))
+            else:
+                whole.append(chunk)
+        words = self._words
+        self._learn_words(list({w for _, w, _ in parts} - words.keys()))
+        tails = sorted({t for _, _, t in parts if t} - words.keys())
+        words.update(zip(tails, self._plain(tails), strict=True))
+        words[""] = b""
+        self._chunks.update((chunk, words[word] + words[tail]) for chunk, word, tail in parts)
+        for k in range(0, len(whole), 8192):
+            some = whole[k : k + 8192]
+            self._chunks.update(zip(some, self._plain([c.decode() for c in some]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         split = [t.split() for t in texts]
-        if len(self._known) > CACHE_CHUNKS:
-            self._known.clear()
-        known = self._known
-        fresh = [c for c in set().union(*split) if c not in known]
-        for k in range(0, len(fresh), 8192):
-            some = fresh[k : k + 8192]
-            for chunk, got in zip(some, self._tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
-                known[chunk] = np.array(got.ids, "<u2").tobytes()
+        for memory in (self._chunks, self._words):
+            if len(memory) > CACHE_CHUNKS:
+                for key in list(memory)[: len(memory) // 2]:
+                    del memory[key]
+        self._learn(list(set().union(*split) - self._chunks.keys()))
+        known = self._chunks
         return [b"".join([known[c] for c in chunks]) for chunks in split]
 
 
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def _encoder(tokenizer_path: str) -> ChunkEncoder:
+    if tokenizer_path not in _encoders:
+        _encoders[tokenizer_path] = ChunkEncoder(tokenizer_path)
+    return _encoders[tokenizer_path]
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """``doc_id`` and ``ids`` (16-bit, little-endian, closed by ``end_id``)."""
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         for batch in batches:
             for part in wordhash.slices(batch):
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]

@@ -1,3 +1,8 @@
 """Catalogue of named queries: name -> (Spark function, DuckDB text or None)."""
 
-CATALOG: dict = {}
+from __future__ import annotations
+
+from tessera.queries import relations, scalars, search, state
+from tessera.queries.registry import CATALOG
+
+__all__ = ["CATALOG", "relations", "scalars", "search", "state"]
