@@ -3,7 +3,7 @@
 Queries and rows are each put in a cover tree: a node at scale ``s`` has a centre and
 covers its points within ``BASE**s``; its children are a greedy net at the next smaller scale.
 Where a net would fall into near-singletons, as in many dimensions, the node takes
-``FAN`` members far apart instead, and small ones stay leaves, scored as one matrix product.  A pair of nodes can score at most
+``FAN`` of its points as members instead, and small ones stay leaves, scored as one matrix product.  A pair of nodes can score at most
 ``cq.cx + rq |cx| + rx |cq| + rq rx`` (radii as measured); the pair is dropped when that is
 below the worst kth score of any query in the query node.  Pairs are visited from the
 highest bound down, so the kth scores rise early.  Ties go to the smaller id, and a
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import vectors
 
-LEAF = 64
+LEAF = 512
 PLACE_BITS = 17
 #: Distances come from inner products; radii are widened by more than their rounding.
 SLACK = 1e-6
@@ -69,26 +69,18 @@ def build(x: np.ndarray) -> Node:
             if inside.any():  # the parent's own centre need not cover a point
                 groups.append((points[inside], c, d[inside]))
                 points = points[~inside]
-            if not len(points) or len(groups) * THIN > total - len(points) + LEAF:
+            if not len(points) or len(groups) * THIN > total - len(points) + 64:
                 return groups
             c = x[points[0]]
             d = far(points, c)
             inside = d <= cover
 
     def spread(points, dist):
-        """Members far from one another (each next is the farthest from those before); points go to the nearest."""
-        if len(points) <= LEAF * 4:
-            return []
-        first = int(dist.argmax())
-        members, nearest = [], np.full(len(points), np.inf)
-        owner, nxt = np.zeros(len(points), np.int64), first
-        for m in range(FAN):
-            d = far(points, x[points[nxt]])
-            closer = d < nearest
-            owner[closer], nearest[closer] = m, d[closer]
-            members.append(points[nxt])
-            nxt = int(nearest.argmax())
-        return [(points[owner == m], x[members[m]], nearest[owner == m]) for m in range(FAN) if (owner == m).any()]
+        """Members taken evenly along the node's points; each point goes to its nearest member."""
+        members = points[:: -(-len(points) // FAN)]
+        d = np.stack([far(points, x[m]) for m in members])
+        owner = d.argmin(0)
+        return [(points[owner == m], x[members[m]], d[m][owner == m]) for m in range(len(members)) if (owner == m).any()]
 
     mean = x.mean(0)
     everything = np.arange(len(x))
