@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    from tessera.llm.store import reach_workers
+
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -35,7 +38,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = tokenfiles.encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     encoded = store.materialise(encoded, "encoded")
     files = store.materialise(tokenfiles.write_shards(encoded, store.fresh_path(spark, "hufids")), "hufids-files")
-    return tokenfiles.read_shards(files).drop("ids")
+    return tokenfiles.read_shards(files, keep_ids=False)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

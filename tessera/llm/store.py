@@ -31,7 +31,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends at files that outlive executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove tables of ``materialise`` that no later step reads, and let finished steps' shuffle files go.
+
+    Spark drops shuffle files once the driver's garbage collector has found their handles.
+    """
+    import gc
+
+    gc.collect()
+    for df in written:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers of this session import the library from where the driver has it.
+
+    A cluster whose machines don't share that folder gets it through ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    have = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
 
 
 def local_path(uri: str) -> str | None:

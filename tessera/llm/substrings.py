@@ -83,14 +83,6 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("tid").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("start", "windows", "minimiser", "name")))
 
 
-def _release(spark) -> None:
-    """Let finished steps' shuffle files go: Spark drops them once the driver has collected their handles."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_segments(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Occurrences (tid, start, name) of segments whose minimiser occurs twice or more, and those segments once each."""
     each = texts.select("tid", "copies", F.explode(F.arrays_zip("start", "windows", "minimiser", "name")).alias("s")).select("tid", "copies", "s.*")
@@ -175,20 +167,19 @@ def drop_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, the kept words' digest and ``kept``, the kept words joined by a space."""
     if width > 90 or width < GRAM:
         raise ValueError("windows of 8 to 90 words are supported")
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
     texts = store.materialise(describe(rows, width), "texts")
     found, once = repeated_segments(texts)
-    _release(spark)
-    given = store.materialise(contents(rows, once, width), "contents")
-    _release(spark)
+    store.discard(texts)
+    given0 = given = store.materialise(contents(rows, once, width), "contents")
+    store.discard()
     lone = given.where("single").groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1").select("key")
     given = given.where("NOT single").unionByName(given.where("single").join(lone, "key").select(given.columns))
     total = given.agg(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
     masks = report(given, width, max(1, -(-int(total) // (8 * SHARD_WORDS))))
     hits = found.join(masks, "name").groupBy("tid").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
     hits = store.materialise(hits, "hits")
-    _release(spark)
+    store.discard(given0, found)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
