@@ -4,9 +4,18 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+# Types are objects, not DDL texts, which only a running session could parse at import.
+_TEXTS = T.ArrayType(T.StringType())
 
-@F.pandas_udf("struct<release: array<long>, prerelease: boolean, sort_key: string>")
+
+def _record(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+
+@F.pandas_udf(_record(release=T.ArrayType(T.LongType()), prerelease=T.BooleanType(), sort_key=T.StringType()))
 def pep440_value(version: pd.Series) -> pd.DataFrame:
     """Release numbers, whether it is a pre-release, and a text that sorts by precedence; nulls for what is no version."""
     from packaging.version import InvalidVersion, Version
@@ -34,7 +43,7 @@ def pep440_value(version: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["release", "prerelease", "sort_key"])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def pep440_matches(specifier: pd.Series, version: pd.Series) -> pd.Series:
     """Whether a version, pre-releases included, meets a specifier; an invalid specifier or version is an error."""
     from packaging.specifiers import SpecifierSet
@@ -42,7 +51,7 @@ def pep440_matches(specifier: pd.Series, version: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or v is None else SpecifierSet(s).contains(v, prereleases=True) for s, v in zip(specifier, version, strict=True)])
 
 
-@F.pandas_udf("array<struct<path: array<string>, kind: string, text: string>>")
+@F.pandas_udf(T.ArrayType(_record(path=_TEXTS, kind=T.StringType(), text=T.StringType())))
 def toml_entries(text: pd.Series) -> pd.Series:
     """Every leaf of a TOML text with its path; null for a text that doesn't parse."""
     import tomllib
@@ -66,7 +75,7 @@ def toml_entries(text: pd.Series) -> pd.Series:
     return text.map(entries)
 
 
-@F.pandas_udf("array<struct<name: string, value: string>>")
+@F.pandas_udf(T.ArrayType(_record(name=T.StringType(), value=T.StringType())))
 def metadata_headers(text: pd.Series) -> pd.Series:
     """Header fields of a package metadata text, in order."""
     from email.parser import HeaderParser
@@ -74,7 +83,7 @@ def metadata_headers(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else [{"name": k, "value": v} for k, v in HeaderParser().parsestr(t).items()])
 
 
-@F.pandas_udf("array<struct<bytes: long, json_bytes: long>>")
+@F.pandas_udf(T.ArrayType(_record(bytes=T.LongType(), json_bytes=T.LongType())))
 def prefix_boundaries(text: pd.Series) -> pd.Series:
     """Byte length of every whole-character prefix, alone and as a JSON string."""
     import json
@@ -92,7 +101,7 @@ def prefix_boundaries(text: pd.Series) -> pd.Series:
     return text.map(cuts)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def utf16_to_utf8(line: pd.Series, column: pd.Series) -> pd.Series:
     """Byte offset of a UTF-16 column in a line; null if it lies within a character or beyond the end."""
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources.workers import reach_workers
+
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -13,6 +15,7 @@ class Tables:
     """Lazily read tables of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        reach_workers(spark)
         self.spark, self._folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
