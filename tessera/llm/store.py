@@ -8,6 +8,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources.workers import reach_workers
+
+
+__all__ = ["discard", "filesystem", "fresh_path", "local_path", "materialise", "reach_workers", "read_file", "shared_dir", "write_file"]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset (tests on one machine), a new folder that becomes it."""
@@ -53,17 +58,6 @@ def discard(*written: DataFrame) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def reach_workers(spark: SparkSession) -> None:
-    """Let Python workers of this session import the library from where the driver has it.
-
-    A cluster whose machines don't share that folder gets it through ``--py-files``.
-    """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    have = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
-
-
 def local_path(uri: str) -> str | None:
     """The path of a ``file:`` URI or plain path; None for another store."""
     if uri.startswith("file:"):
