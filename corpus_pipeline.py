@@ -27,6 +27,7 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    store.reach_workers(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs.withColumn("__own", F.struct(*docs.columns)).select("__own", "text"), model)
     return scored.where(F.col("score") < toxicity.THRESHOLD).select("__own.*")
