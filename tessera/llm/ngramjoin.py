@@ -13,7 +13,8 @@
    the holders' prefixes go in a trie.  Each holder descends it with its overlap so
    far; a branch is left when the overlap plus the shorter of both remainders can't
    reach ``l``, or when a common n-gram comes before the block's own (another block has
-   that pair).  Pairs of one component are not looked for.
+   that pair); at its end the pair's own bound is put in ``l``'s place.  Pairs of one component are not looked for.  N-grams of ``SMALL`` or fewer
+   holders need no trie: their few pairs are counted, which is the same overlap.
 5. Candidates of 3 and 4 are checked on whole sets, and components follow from the links.
 
 Blocks of more than ``BLOCK`` holders are split into pairs of parts, so no group grows with
@@ -39,8 +40,12 @@ from tessera.llm.components import components
 
 #: Frequent n-grams that are moved to the end of the order: at most so many, each held by
 #: ``COMMON`` or more different sets within one input partition.
-FREQUENT, COMMON = 1 << 17, 8
+FREQUENT, COMMON = 1 << 19, 3
 BLOCK = 2048
+#: N-grams with at most so many holders are unfolded to pairs at once; others get a trie.
+SMALL = 4
+#: A place in the global order is a hash's upper 62 bits; frequent n-grams have the highest places.
+_TOP = (1 << 62) - FREQUENT - 1
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 
 
@@ -60,6 +65,16 @@ class Rule:
         """n-grams that linked sets share in their prefixes, at least (by the smaller one's size)."""
         return 1 + 2 * (n - self.need(n)) // 5
 
+    def shared(self, a: tuple[int, int, int], b: tuple[int, int, int]) -> int:
+        """n-grams that two linked sets share in their prefixes, at least; each is (size, prefix length, last place of the prefix).
+
+        All n-grams up to the smaller last place are known of both, and a set of ``n`` that
+        overlaps by ``o`` has at most ``n - o`` others among them.
+        """
+        overlap = -(-self.num * (a[0] + b[0]) // (self.num + self.den))
+        n, length, _ = min(a, b, key=lambda x: x[2])
+        return max(1, length - n + overlap)
+
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return np.minimum(n - self.need(n) + self.common(n), n)
 
@@ -145,22 +160,17 @@ def nodes_of(docs: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
                 values, cut = sets_of(part.column("text"), rule.size)
                 n = np.diff(cut)
                 s1, s2 = _identity(values, cut)
-                late = np.zeros(len(values), np.int64)
+                place = np.minimum((values >> np.uint64(2)).astype(np.int64), _TOP - 1)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-                    late = np.where(hot[at] == values, rank[at] + 1, 0)
-                owner = np.repeat(np.arange(len(n)), n)
-                lateness = np.flatnonzero(np.bincount(owner, late > 0, len(n)) > 0)
-                for d in lateness:  # hash order already holds within a set; only sets with frequent n-grams are put anew
-                    a, b = cut[d], cut[d + 1]
-                    again = np.argsort(late[a:b], kind="stable")
-                    values[a:b], late[a:b] = values[a:b][again], late[a:b][again]
+                    late = hot[at] == values
+                    place[late] = _TOP + rank[at[late]]
+                    owner = np.repeat(np.arange(len(n)), n)
+                    for d in np.flatnonzero(np.bincount(owner, late, len(n))):  # sets are in hash order; only those with frequent n-grams change
+                        place[cut[d] : cut[d + 1]].sort()
                 size = np.where(n > 0, rule.prefix(n), 0)
-                who, place = wh.ragged(size)
-                take = cut[:-1][who] + place
-                # an n-gram's place in the order is carried in front of it: 0, or its rank among the frequent
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values[take].view(np.int64)))
-                ranks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(late[take].astype(np.int32)))
+                who, i = wh.ragged(size)
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(place[cut[:-1][who] + i]))
                 some = np.flatnonzero(n)
                 mins = []
                 for seed in _SEEDS:
@@ -168,9 +178,9 @@ def nodes_of(docs: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
                     if len(some):
                         m[some] = np.minimum.reduceat(wh.mix(values ^ seed), cut[:-1][some])
                     mins.append(pa.array(m.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), prefix, ranks, *mins], ["doc_id", "n", "s1", "s2", "prefix", "ranks", "m0", "m1", "m2", "m3"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), prefix, *mins], ["doc_id", "n", "s1", "s2", "prefix", "m0", "m1", "m2", "m3"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>, ranks array<int>, m0 long, m1 long, m2 long, m3 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>, m0 long, m1 long, m2 long, m3 long")
 
 
 def _close(rule: Rule, a: str, b: str):
@@ -186,70 +196,103 @@ def first_pairs(nodes: DataFrame, rule: Rule) -> DataFrame:
     return pairs.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("agree")).where("agree > 1").select("a", "b")
 
 
-def trie_pairs(token: tuple[int, int], holders: list[tuple[int, int, int, int, list[tuple[int, int]]]], rule: Rule, cross: bool) -> list[tuple[int, int]]:
-    """Pairs of ``holders`` (node, component, n, part, ordered prefix) whose first common n-gram is ``token`` and that share enough.
+def trie_pairs(token: int, holders: list[tuple[int, int, tuple[int, int, int], int, list[int]]], rule: Rule, cross: bool) -> list[tuple[int, int]]:
+    """Pairs of ``holders`` (node, component, (n, prefix length, its last place), part, ordered places) whose first common n-gram with a block is ``token`` and that share enough.
 
-    Trie nodes are ``[children, longest remainder below, holders that end here]``.
+    An odd place has a block of its own.  Trie nodes are ``[children, longest remainder
+    below, holders that end here]``.
     """
     root: list = [{}, 0, []]
     for h in holders:
         at = root
         for i, gram in enumerate(h[4]):
-            left = len(h[4]) - i
-            at[1] = max(at[1], left)
+            at[1] = max(at[1], len(h[4]) - i)
             at = at[0].setdefault(gram, [{}, 0, []])
         at[2].append(h)
     out = []
-    for node, comp, n, part, prefix in holders:
+    for node, comp, size, part, prefix in holders:
         place = {g: i for i, g in enumerate(prefix)}
+        n = size[0]
         low = -(-rule.num * n // rule.den)
         need = int(rule.common(np.int64(low)))  # no partner is smaller than low
-        stack = [(root, 0, 0)]
+        stack = [(root, 0, 0, False)]
         while stack:
-            at, common, passed = stack.pop()
-            for other, c2, n2, p2, _ in at[2]:
-                if node < other and comp != c2 and (not cross or part != p2) and n2 * rule.den >= n * rule.num and n * rule.den >= n2 * rule.num and common >= int(rule.common(np.int64(min(n, n2)))):
+            at, common, passed, met = stack.pop()
+            for other, c2, size2, p2, _ in at[2]:
+                if node < other and comp != c2 and (not cross or part != p2) and size2[0] * rule.den >= n * rule.num and n * rule.den >= size2[0] * rule.num and common >= rule.shared(size, size2):
                     out.append((node, other))
             for gram, child in at[0].items():
                 i = place.get(gram)
                 if i is not None:
-                    if gram < token:
+                    if gram & 1 and gram < token:
                         continue  # the block of that n-gram has this pair
-                    now, after = common + 1, i + 1
+                    now, after, here = common + 1, i + 1, met or gram == token
                 else:
-                    if common == 0 and gram > token:
-                        continue
-                    now, after = common, passed
+                    now, after, here = common, passed, met
+                if not here and gram > token:
+                    continue
                 if now + min(child[1], len(prefix) - after) >= need:
-                    stack.append((child, now, after))
+                    stack.append((child, now, after, here))
     return out
 
 
+def _sharing(grams: np.ndarray, size: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """What two or more holders of a block share, without holders that share too little; None if fewer than two stay."""
+    owner = np.repeat(np.arange(len(size)), size)
+    while True:
+        _, inverse, count = np.unique(grams, return_inverse=True, return_counts=True)
+        left = np.bincount(owner[count[inverse] > 1], minlength=len(size))
+        keep = (count[inverse] > 1) & (left >= need)[owner]
+        if keep.all():
+            return (grams, owner) if len(grams) else None
+        grams, owner = grams[keep], owner[keep]
+        if not len(grams):
+            return None
+
+
 def rest_pairs(nodes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of nodes of different components that share enough of their prefixes (``nodes`` has component)."""
-    entries = nodes.select("node", "component", "n", F.explode(F.arrays_zip("ranks", "prefix")).alias("g")).select("node", "component", "n", F.col("g.ranks").alias("rank"), F.col("g.prefix").alias("gram"))
+    entries = nodes.select("node", "component", "n", F.explode("prefix").alias("gram"))
     by = Window.partitionBy("gram")
     mixed = entries.withColumns({"low": F.min("component").over(by), "high": F.max("component").over(by), "held": F.count("*").over(by)}).where("low <> high").drop("low", "high")
     mixed = store.materialise(mixed, "mixed")
-    short = mixed.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("gram")))).alias("grams"))
-    short = short.where(F.size("grams") > 0)
-    # with fewer shared n-grams in all there is no partner
     low = F.ceil(F.col("n") * rule.num / rule.den)
-    least = (1 + F.floor(2 * (low - F.ceil(low * rule.num / rule.den)) / 5)).cast("long")
-    blocks = mixed.join(short, "node").where(F.size("grams") >= least)
+
+    def least(n):
+        return (1 + F.floor(2 * (n - F.ceil(n * rule.num / rule.den)) / 5)).cast("long")
+
+    # few holders: their pairs, counted; a pair that shares an n-gram of many holders besides is found there
+    few = mixed.where(F.col("held") <= SMALL).groupBy("gram").agg(F.collect_list(F.struct("node", "component", "n")).alias("h"))
+    each = few.select(F.explode(F.flatten(F.transform("h", lambda x: F.transform("h", lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p")).where("p.x.node < p.y.node AND p.x.component <> p.y.component")
+    pairs = each.select(F.col("p.x.node").alias("a"), F.col("p.y.node").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb")).where(_close(rule, "na", "nb"))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common")).where(F.col("common") >= least(F.least("na", "nb")))
+    known = nodes.select("node", F.size("prefix").alias("length"), F.element_at("prefix", -1).alias("last"))
+    pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("length").alias("la"), F.col("last").alias("ea")), "a").join(known.select(F.col("node").alias("b"), F.col("length").alias("lb"), F.col("last").alias("eb")), "b")
+    overlap = F.ceil((F.col("na") + F.col("nb")) * rule.num / (rule.num + rule.den))
+    pairs = pairs.where(F.col("common") >= F.when(F.col("ea") <= F.col("eb"), F.col("la") - F.col("na")).otherwise(F.col("lb") - F.col("nb")) + overlap).select("a", "b")
+
+    short = mixed.groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.col("gram") * 2 + (F.col("held") > SMALL).cast("long"))).alias("grams"))
+    short = short.where(F.size("grams") >= least(low)).join(known, "node")  # with fewer shared n-grams in all there is no partner
+    many = mixed.where(F.col("held") > SMALL).select("node", "gram", "held")
     parts = F.ceil(F.col("held") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("node"), parts).cast("int")
-    blocks = blocks.select("rank", "gram", "node", "component", "n", "grams", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("with")).select("*", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"))
+    blocks = many.join(short, "node").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    blocks = blocks.select("gram", "node", "component", "n", "length", "last", "grams", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("with")).select("*", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"))
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        token = (rows[0]["rank"], rows[0]["gram"])
-        cross = rows[0]["p"] != rows[0]["q"]
-        holders = [(r["node"], r["component"], r["n"], r["part"], [(g["rank"], g["gram"]) for g in r["grams"]]) for r in rows]
-        found = trie_pairs(token, holders, rule, cross) if len(holders) > 1 else []
+        node, comp, n, part, length, last = (table.column(c).to_numpy() for c in ("node", "component", "n", "part", "length", "last"))
+        lists = table.column("grams").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        found = []
+        keep = _sharing(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), rule.common(rule.need(n)))
+        if keep is not None:
+            grams, owner = keep
+            who = np.unique(owner)
+            cut = np.searchsorted(owner, np.append(who, len(node)))
+            holders = [(int(node[i]), int(comp[i]), (int(n[i]), int(length[i]), int(last[i])), int(part[i]), grams[a:b].tolist()) for i, a, b in zip(who, cut[:-1], cut[1:], strict=True)]
+            found = trie_pairs(2 * table.column("gram")[0].as_py() + 1, holders, rule, table.column("p")[0] != table.column("q")[0])
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return blocks.groupBy("gram", "p", "q").applyInArrow(run, "a long, b long")
+    return pairs.unionByName(blocks.groupBy("gram", "p", "q").applyInArrow(run, "a long, b long"))
 
 
 def linked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -263,7 +306,7 @@ def linked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 offs = pa.py_buffer((cut * 8).astype(np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, offs, pa.py_buffer(values.tobytes())])], ["node", "grams"])
 
-    sets = store.materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").mapInArrow(to_sets, "node long, grams binary"), "sets")
+    sets = store.materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id").mapInArrow(to_sets, "node long, grams binary"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
 
     def check(batches):
@@ -287,19 +330,25 @@ def linked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id."""
     docs = docs.select("doc_id", "text")
-    rows = store.materialise(nodes_of(docs, rule, frequent_grams(docs, rule)), "nodes")
-    named = rows.where("doc_id IS NOT NULL AND n > 0")
-    classes = named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("prefix", "ranks", "m0", "m1", "m2", "m3"), "doc_id").alias("x"))
+    store.reach_workers(docs.sparkSession)
+    nodes = store.materialise(nodes_of(docs, rule, frequent_grams(docs, rule)), "nodes")
+    rows = store.materialise(nodes.select("doc_id", "s1", "s2", "n"), "names")
+    named = nodes.where("doc_id IS NOT NULL AND n > 0")
+    classes = named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("prefix", "m0", "m1", "m2", "m3"), "doc_id").alias("x"))
     classes = store.materialise(classes.select("node", "n", "s1", "s2", "x.*"), "classes")
+    store.discard(nodes)
     first = store.materialise(linked(first_pairs(classes, rule), docs, rule), "links")
     ends = components(first)
+    store.discard()
     joined = classes.join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = store.materialise(rest_pairs(joined.select("node", "n", "prefix", "ranks", "component"), rule).distinct(), "pairs")
-    links = first.unionByName(linked(rest, docs, rule))
+    rest = store.materialise(rest_pairs(joined.select("node", "n", "prefix", "component"), rule).distinct(), "pairs")
+    store.discard()
+    links = first.unionByName(store.materialise(linked(rest, docs, rule), "links"))
+    store.discard()
     # a doc_id with several rows ties their sets together
-    twice = rows.where("doc_id IS NOT NULL").select("doc_id", "s1", "s2", "n").join(classes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"]).select("doc_id", "node")
+    twice = rows.where("doc_id IS NOT NULL").join(classes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"]).select("doc_id", "node")
     ties = twice.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b").select("a", "b")
     ends = components(links.unionByName(ties))
     final = classes.select("s1", "s2", "n", "node").join(ends, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "s1", "s2", "n").join(final, ["s1", "s2", "n"], "left")
+    out = rows.join(final, ["s1", "s2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
