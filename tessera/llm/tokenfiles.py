@@ -47,47 +47,57 @@ class ChunkEncoder:
         got = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(g.ids, "<u2").tobytes() for g in got]
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _learn_words(self, words: list[bytes]) -> None:
         """Words of letters only are each one pre-token, so many are encoded as one text and cut at the closing ids."""
         for k in range(0, len(words), 256 * 64):
             groups = [words[g : g + 256] for g in range(k, min(k + 256 * 64, len(words)), 256)]
-            for group, raw in zip(groups, self._plain([" ".join(g) for g in groups]), strict=True):
+            for group, raw in zip(groups, self._plain([b" ".join(g).decode() for g in groups]), strict=True):
                 cut = (2 * (np.flatnonzero(self._closes[np.frombuffer(raw, "<u2")]) + 1)).tolist()
                 if len(cut) == len(group):
-                    self._words.update((w, raw[a:b]) for w, a, b in zip(group, [0, *cut], cut, strict=False))
+                    self._words.update(zip(group, map(raw.__getitem__, map(slice, [0, *cut], cut)), strict=False))
                 else:
-                    self._words.update(zip(group, self._plain(group), strict=True))
+                    self._words.update(zip(group, self._plain([w.decode() for w in group]), strict=True))
 
     def _learn(self, chunks: list[bytes]) -> None:
-        parts: list[tuple[bytes, str, str]] = []
-        whole: list[bytes] = []
-        for chunk in chunks:
-            text = chunk.decode()
-            word = text.rstrip(".,")
-            if word.isalpha() and word.lower().isalpha() and unicodedata.is_normalized("NFC", word):
-                parts.append((chunk, word.lower() if word.isascii() else word, text[len(word) :]))
-            else:
+        # a chunk is a word, a word and a tail of "." and ",", or else encoded whole
+        bare = [c for c in chunks if c.isalpha()]  # ASCII letters
+        bare_words = [c.lower() for c in bare]
+        tailed, tailed_words, whole = [], [], []
+        for chunk in (c for c in chunks if not c.isalpha()):
+            word = chunk.rstrip(b".,")
+            if word.isalpha():
+                word = word.lower()
+            elif word.isascii() or not _one_letter_run(word.decode()):
                 whole.append(chunk)
+                continue
+            tailed.append((chunk, len(word)))
+            tailed_words.append(word)
         words = self._words
-        self._learn_words(list({w for _, w, _ in parts} - words.keys()))
-        tails = sorted({t for _, _, t in parts if t} - words.keys())
-        words.update(zip(tails, self._plain(tails), strict=True))
-        words[""] = b""
-        self._chunks.update((chunk, words[word] + words[tail]) for chunk, word, tail in parts)
+        self._learn_words(list({*bare_words, *tailed_words} - words.keys()))
+        tails = {chunk[n:] for chunk, n in tailed} - words.keys()
+        words.update(zip(tails, self._plain([t.decode() for t in tails]), strict=True))
+        self._chunks.update(zip(bare, map(words.__getitem__, bare_words), strict=True))
+        self._chunks.update((chunk, words[word] + words[chunk[n:]]) for (chunk, n), word in zip(tailed, tailed_words, strict=True))
         for k in range(0, len(whole), 8192):
             some = whole[k : k + 8192]
             self._chunks.update(zip(some, self._plain([c.decode() for c in some]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        split = [t.split() for t in texts]
+        # lower case is part of the tokenizer's normalizer; in plain ASCII it can come first
+        split = [(t.lower() if t.isascii() else t).split() for t in texts]
         for memory in (self._chunks, self._words):
             if len(memory) > CACHE_CHUNKS:
                 for key in list(memory)[: len(memory) // 2]:
                     del memory[key]
         self._learn(list(set().union(*split) - self._chunks.keys()))
-        known = self._chunks
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        known = self._chunks.__getitem__
+        return [b"".join(map(known, chunks)) for chunks in split]
+
+
+def _one_letter_run(word: str) -> bool:
+    """Whether the normalizer leaves a word one run of letters, so that it is one pre-token whatever follows."""
+    return word.isalpha() and word.lower().isalpha() and unicodedata.is_normalized("NFC", word)
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -186,8 +196,8 @@ def write_shards(encoded: DataFrame, folder: str, shard_ids: int = SHARD_IDS) ->
     return dealt.select("doc_id", "ids").mapInArrow(run, "path string, part int, number int, tokens long")
 
 
-def read_shards(files: DataFrame) -> DataFrame:
-    """Decode the files of ``write_shards``: per document ``start``, ``n_tokens``, ``ids_crc32`` and its ``ids``.
+def read_shards(files: DataFrame, keep_ids: bool = True) -> DataFrame:
+    """Decode the files of ``write_shards``: per document ``start``, ``n_tokens``, ``ids_crc32`` and, if asked, its ``ids``.
 
     Only a row per shard file reaches the driver, to lay the files' starts end to end.
     """
@@ -205,8 +215,10 @@ def read_shards(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(end - n, end, strict=True)]
                 for k in range(0, len(docs), 2000):
                     to = min(k + 2000, len(docs))
-                    offs = np.concatenate([[0], end[k:to] - (end[k] - n[k])]).astype(np.int32)
-                    values = pa.array(raw[end[k] - n[k] : end[to - 1]].astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[k:to], mask=docs[k:to] == -(2**63)), pa.array(start + (end - n)[k:to]), pa.array(n[k:to]), pa.array(crc[k:to], pa.int64()), pa.ListArray.from_arrays(pa.array(offs), values)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    columns = [pa.array(docs[k:to], mask=docs[k:to] == -(2**63)), pa.array(start + (end - n)[k:to]), pa.array(n[k:to]), pa.array(crc[k:to], pa.int64())]
+                    if keep_ids:
+                        offs = np.concatenate([[0], end[k:to] - (end[k] - n[k])]).astype(np.int32)
+                        columns.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(raw[end[k] - n[k] : end[to - 1]].astype(np.int32))))
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return listed.repartition(max(1, len(rows))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return listed.repartition(max(1, len(rows))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids)
