@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import huffman, store, wordhash
 
-#: Distinct chunks and words, each, that a worker remembers; the older half goes when full.
-CACHE_CHUNKS = 500_000
+#: Distinct chunks that a worker remembers; the older half goes when full.
+CACHE_CHUNKS = 900_000
 #: Ids in a shard file, about.
 SHARD_IDS = 4 << 20
 
@@ -40,8 +40,7 @@ class ChunkEncoder:
             raise ValueError("ids are kept in 16 bits; this vocabulary is larger")
         self._closes = np.zeros(1 << 16, bool)  # ids that end a pre-token
         self._closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._chunks: dict[bytes, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._known: dict[bytes, bytes] = {}  # chunks; words and tails are chunks too
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         got = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -54,45 +53,55 @@ class ChunkEncoder:
             for group, raw in zip(groups, self._plain([b" ".join(g).decode() for g in groups]), strict=True):
                 cut = (2 * (np.flatnonzero(self._closes[np.frombuffer(raw, "<u2")]) + 1)).tolist()
                 if len(cut) == len(group):
-                    self._words.update(zip(group, map(raw.__getitem__, map(slice, [0, *cut], cut)), strict=False))
+                    self._known.update(zip(group, map(raw.__getitem__, map(slice, [0, *cut], cut)), strict=False))
                 else:
-                    self._words.update(zip(group, self._plain([w.decode() for w in group]), strict=True))
+                    self._known.update(zip(group, self._plain([w.decode() for w in group]), strict=True))
 
     def _learn(self, chunks: list[bytes]) -> None:
         # a chunk is a word, a word and a tail of "." and ",", or else encoded whole
-        bare = [c for c in chunks if c.isalpha()]  # ASCII letters
-        bare_words = [c.lower() for c in bare]
-        tailed, tailed_words, whole = [], [], []
-        for chunk in (c for c in chunks if not c.isalpha()):
+        known = self._known
+        capital, tailed, words, ends, whole = [], [], [], [], []
+        need = set()
+        for chunk in chunks:
+            if chunk.isalpha():  # ASCII letters
+                if chunk.islower():
+                    need.add(chunk)
+                else:
+                    capital.append(chunk)
+                continue
             word = chunk.rstrip(b".,")
             if word.isalpha():
                 word = word.lower()
             elif word.isascii() or not _one_letter_run(word.decode()):
                 whole.append(chunk)
                 continue
-            tailed.append((chunk, len(word)))
-            tailed_words.append(word)
-        words = self._words
-        self._learn_words(list({*bare_words, *tailed_words} - words.keys()))
-        tails = {chunk[n:] for chunk, n in tailed} - words.keys()
-        words.update(zip(tails, self._plain([t.decode() for t in tails]), strict=True))
-        self._chunks.update(zip(bare, map(words.__getitem__, bare_words), strict=True))
-        self._chunks.update((chunk, words[word] + words[chunk[n:]]) for (chunk, n), word in zip(tailed, tailed_words, strict=True))
+            if len(word) == len(chunk):
+                need.add(chunk)
+                continue
+            tailed.append(chunk)
+            words.append(word)
+            ends.append(chunk[len(word) :])
+        lowered = [c.lower() for c in capital]
+        need.update(lowered, words)
+        self._learn_words(list(need - known.keys()))
+        tails = list(set(ends) - known.keys())
+        known.update(zip(tails, self._plain([t.decode() for t in tails]), strict=True))
+        known.update(zip(capital, map(known.__getitem__, lowered), strict=True))
+        known.update(zip(tailed, map(bytes.__add__, map(known.__getitem__, words), map(known.__getitem__, ends)), strict=True))
         for k in range(0, len(whole), 8192):
             some = whole[k : k + 8192]
-            self._chunks.update(zip(some, self._plain([c.decode() for c in some]), strict=True))
+            known.update(zip(some, self._plain([c.decode() for c in some]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         # lower case is part of the tokenizer's normalizer; in plain ASCII it can come first
         split = [(t.lower() if t.isascii() else t).split() for t in texts]
-        for memory in (self._chunks, self._words):
-            if len(memory) > CACHE_CHUNKS:
-                for key in list(memory)[: len(memory) // 2]:
-                    del memory[key]
-        self._learn(list(set().union(*split) - self._chunks.keys()))
-        known = self._chunks.__getitem__
-        return [b"".join(map(known, chunks)) for chunks in split]
+        known = self._known
+        if len(known) > CACHE_CHUNKS:
+            for key in list(known)[: len(known) // 2]:
+                del known[key]
+        self._learn(list(set().union(*split) - known.keys()))
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
 def _one_letter_run(word: str) -> bool:
