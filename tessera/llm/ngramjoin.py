@@ -125,7 +125,7 @@ def frequent_grams(docs: DataFrame, rule: Rule) -> np.ndarray:
             weight = np.concatenate([tally, np.ones(len(every) - len(known), np.int64)])
             known, inverse = np.unique(every, return_inverse=True)
             tally, pieces = np.bincount(inverse, weight, len(known)).astype(np.int64), []
-            if len(known) > 1 << 23:  # what is rare so far within this partition is forgotten; this only sets an order
+            if len(known) > 1 << 20:  # what is rare so far within this partition is forgotten; this only sets an order
                 keep = tally > 1
                 known, tally = known[keep], tally[keep]
 
@@ -137,7 +137,7 @@ def frequent_grams(docs: DataFrame, rule: Rule) -> np.ndarray:
                 fresh = np.array([not (x in seen or seen.add(x)) for x in name.tolist()], bool)
                 pieces.append(values[np.repeat(fresh, np.diff(cut))])
                 held += len(pieces[-1])
-                if held > 1 << 21:
+                if held > 1 << 19:
                     fold()
                     held = 0
         fold()
