@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm import wordhash
 
 #: Remembered runs and pieces, each, per Python worker; the older half goes when full.
-CACHE = 400_000
+CACHE = 300_000
 LONG = 512
 #: Text bytes of one encoding round, and ids of one decoding query.
 ROUND_BYTES, ROUND_IDS = 6 << 20, 1 << 20
