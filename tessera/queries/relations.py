@@ -59,11 +59,19 @@ def full_outer_vector(t):
     return s.join(c, "nationkey", "full").withColumn("state", state)
 
 
+def provenance(lines, part, supplier):
+    on = (F.col("l_suppkey") == F.col("s_suppkey")) & ((F.col("p_size") > 25) | (F.col("s_nationkey") == 3))
+    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, on, "left").select("l_orderkey", "l_linenumber", "p_name", "s_name")
+
+
 @query("SELECT l.l_orderkey, l.l_linenumber, p.p_name, s.s_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey AND (p.p_size > 25 OR s.s_nationkey = 3) WHERE l.l_orderkey < 400")
 def evidence_provenance(t):
-    j = t.lineitem.where("l_orderkey < 400").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    on = (F.col("l_suppkey") == F.col("s_suppkey")) & ((F.col("p_size") > 25) | (F.col("s_nationkey") == 3))
-    return j.join(t.supplier, on, "left").select("l_orderkey", "l_linenumber", "p_name", "s_name")
+    return provenance(t.lineitem.where("l_orderkey < 400"), t.part, t.supplier)
+
+
+@query("SELECT l.l_orderkey, l.l_linenumber, p.p_name, s.s_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey AND (p.p_size > 25 OR s.s_nationkey = 3)")
+def evidence_provenance_all(t):
+    return provenance(t.lineitem, t.part, t.supplier)
 
 
 @query("SELECT a.p_name, a.p_partkey AS first_key, b.p_partkey AS second_key FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
