@@ -128,6 +128,13 @@ def multiset_reconcile(t):
     return holds_all(t.lineitem.where("l_orderkey < 100").select("l_returnflag", "l_linestatus"), rows)
 
 
+@query("WITH q AS (SELECT o_orderkey AS k, count(*) AS n FROM orders GROUP BY 1), d AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1), w AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL) SELECT 'orders_in_lineitem' AS rule, bool_and(coalesce(d.n, 0) >= q.n) AS contained FROM q LEFT JOIN d USING (k) UNION ALL SELECT 'flags_in_lineitem', bool_and(coalesce(v.n, 0) >= w.n) FROM w LEFT JOIN w v USING (l_returnflag, l_linestatus)")
+def multiset_reconcile_all(t):
+    flags = t.lineitem.select("l_returnflag", "l_linestatus")
+    keys = holds_all(t.orders.select(F.col("o_orderkey").alias("k")), t.lineitem.select(F.col("l_orderkey").alias("k")))
+    return keys.select(F.lit("orders_in_lineitem").alias("rule"), "contained").unionByName(holds_all(flags, flags).select(F.lit("flags_in_lineitem").alias("rule"), "contained"))
+
+
 @query("SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders)")
 def dedup_fingerprint(t):
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")

@@ -78,10 +78,19 @@ def map_entries_unnest(t):
     return t.part.select("p_partkey", F.explode(m).alias("name", "value"))
 
 
+def tag_counts(lines):
+    tags = lines.select("l_orderkey", F.explode(F.array("l_returnflag", "l_linestatus", F.lit(None))).alias("tag"))
+    return tags.groupBy("l_orderkey", "tag").agg(F.count("*").alias("n"))
+
+
 @query("SELECT i.l_orderkey, i.tag, count(*) AS n FROM (SELECT l_orderkey, unnest([l_returnflag, l_linestatus, NULL]) AS tag FROM lineitem WHERE l_orderkey < 200) i GROUP BY ALL")
 def unnest_keep_nulls(t):
-    tags = t.lineitem.where("l_orderkey < 200").select("l_orderkey", F.explode(F.array("l_returnflag", "l_linestatus", F.lit(None))).alias("tag"))
-    return tags.groupBy("l_orderkey", "tag").agg(F.count("*").alias("n"))
+    return tag_counts(t.lineitem.where("l_orderkey < 200"))
+
+
+@query("SELECT i.l_orderkey, i.tag, count(*) AS n FROM (SELECT l_orderkey, unnest([l_returnflag, l_linestatus, NULL]) AS tag FROM lineitem) i GROUP BY ALL")
+def unnest_keep_nulls_all(t):
+    return tag_counts(t.lineitem)
 
 
 @query("SELECT r_name || '-' || a || '-' || b AS tag FROM region, (SELECT unnest(['cp', 'py']) AS a), (SELECT unnest([1, 2, 3]) AS b)")

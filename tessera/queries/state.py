@@ -138,10 +138,19 @@ def expired_claims(t):
     return c.where("event_type = 'signup' AND (lease_end IS NULL OR lease_end - event_id > 40)").select("user_id", F.col("event_id").alias("fence"), "lease_end")
 
 
+def keepset(lines):
+    p = lines.where("l_returnflag = 'R'")
+    return p.groupBy(F.col("l_suppkey").alias("owner")).agg(F.array_join(ordered_set(F.col("l_partkey")), ",").alias("keep_versions"), F.min("l_partkey").alias("m"), (F.count("*") > 1).alias("vacuum_blocked")).select("owner", "keep_versions", F.when(F.col("owner") % 2 == 0, F.lit(0).cast("bigint")).otherwise(F.col("m")).alias("log_floor"), "vacuum_blocked")
+
+
 @query("WITH p AS (SELECT l_suppkey AS owner, l_partkey AS version FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey < 60) SELECT owner, array_to_string(list(DISTINCT version ORDER BY version), ',') AS keep_versions, CASE WHEN owner % 2 = 0 THEN 0 ELSE min(version) END AS log_floor, count(*) > 1 AS vacuum_blocked FROM p GROUP BY owner")
 def retention_keepset(t):
-    p = t.lineitem.where("l_returnflag = 'R' AND l_orderkey < 60")
-    return p.groupBy(F.col("l_suppkey").alias("owner")).agg(F.array_join(ordered_set(F.col("l_partkey")), ",").alias("keep_versions"), F.min("l_partkey").alias("m"), (F.count("*") > 1).alias("vacuum_blocked")).select("owner", "keep_versions", F.when(F.col("owner") % 2 == 0, F.lit(0).cast("bigint")).otherwise(F.col("m")).alias("log_floor"), "vacuum_blocked")
+    return keepset(t.lineitem.where("l_orderkey < 60"))
+
+
+@query("WITH p AS (SELECT l_suppkey AS owner, l_partkey AS version FROM lineitem WHERE l_returnflag = 'R') SELECT owner, array_to_string(list(DISTINCT version ORDER BY version), ',') AS keep_versions, CASE WHEN owner % 2 = 0 THEN 0 ELSE min(version) END AS log_floor, count(*) > 1 AS vacuum_blocked FROM p GROUP BY owner")
+def retention_keepset_all(t):
+    return keepset(t.lineitem)
 
 
 _HOST = "lower(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1))"

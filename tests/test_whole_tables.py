@@ -2,7 +2,7 @@
 
 from types import SimpleNamespace
 
-from tessera.queries import CATALOG, relations
+from tessera.queries import CATALOG, relations, scalars, state
 
 
 def test_provenance_has_late_orders(spark):
@@ -15,3 +15,15 @@ def test_provenance_has_late_orders(spark):
     assert got == [(1, 1, "seven", "three"), (399, 1, "seven", "three"), (400, 1, "seven", "three"), (90000, 2, "eight", None)]
     assert sorted(map(tuple, relations.evidence_provenance(t).collect())) == got[:2]
     assert "WHERE" not in CATALOG["evidence_provenance_all"][1]
+
+
+def test_keepset_tags_and_reconcile_read_late_orders(spark):
+    lines = spark.createDataFrame([(1, 5, 3, "R", "F"), (60, 4, 3, "R", "O"), (5000, 9, 7, "R", "F"), (5000, 9, 7, "N", "F")], "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string")
+    t = SimpleNamespace(lineitem=lines, orders=spark.createDataFrame([(1,), (60,), (5000,), (7000,)], "o_orderkey long"))
+    assert sorted(map(tuple, state.retention_keepset_all(t).collect())) == [(3, "4,5", 4, True), (7, "9", 9, False)]
+    tags = {(r["l_orderkey"], r["tag"]): r["n"] for r in scalars.unnest_keep_nulls_all(t).collect()}
+    assert tags == {(1, "R"): 1, (1, "F"): 1, (1, None): 1, (60, "R"): 1, (60, "O"): 1, (60, None): 1, (5000, "R"): 1, (5000, "N"): 1, (5000, "F"): 2, (5000, None): 2}
+    ruled = lambda: dict(map(tuple, relations.multiset_reconcile_all(t).collect()))
+    assert ruled() == {"orders_in_lineitem": False, "flags_in_lineitem": True}
+    t.orders = t.orders.where("o_orderkey < 7000")
+    assert ruled() == {"orders_in_lineitem": True, "flags_in_lineitem": True}
