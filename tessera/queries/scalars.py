@@ -40,9 +40,18 @@ def scalar_string_suite(t):
     )
 
 
+def matches(masked):
+    return [F.col("text").rlike("[0-9]{4}").alias("has_number"), F.regexp_replace(masked, "[aeiou]+", "_").alias("masked"), F.regexp_extract("text", "([a-z]+)@", 1).alias("mail_name")]
+
+
 @query(r"SELECT doc_id, regexp_matches(text, '[0-9]{4}') AS has_number, regexp_replace(left(text, 50), '[aeiou]+', '_', 'g') AS masked, regexp_extract(text, '([a-z]+)@', 1) AS mail_name FROM documents")
 def scalar_regex_suite(t):
-    return t.documents.select("doc_id", F.col("text").rlike("[0-9]{4}").alias("has_number"), F.regexp_replace(F.left(F.col("text"), F.lit(50)), "[aeiou]+", "_").alias("masked"), F.regexp_extract("text", "([a-z]+)@", 1).alias("mail_name"))
+    return t.documents.select("doc_id", *matches(F.left(F.col("text"), F.lit(50))))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '[0-9]{4}') AS has_number, regexp_replace(text, '[aeiou]+', '_', 'g') AS masked, regexp_extract(text, '([a-z]+)@', 1) AS mail_name FROM documents")
+def scalar_regex_suite_all(t):
+    return t.documents.select("doc_id", *matches(F.col("text")))
 
 
 @query(
@@ -115,6 +124,11 @@ def tokenise(t):
     return t.documents.select("doc_id", F.array_join(F.array_sort(terms(F.left(F.col("text"), F.lit(80)))), " ").alias("terms"))
 
 
+@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda x: strlen(x) >= 2))), ' ') AS terms FROM documents")
+def tokenise_all(t):
+    return t.documents.select("doc_id", F.array_join(F.array_sort(terms(F.col("text"))), " ").alias("terms"))
+
+
 @query(r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, false AS has_credentials FROM pages")
 def url_fields(t):
     u = url_parts(F.col("url"))

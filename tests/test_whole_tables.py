@@ -1,5 +1,6 @@
 """Queries whose SQL is bounded by ids or a prefix have a sibling named ``<name>_all`` over whole tables."""
 
+import re
 from types import SimpleNamespace
 
 from tessera.queries import CATALOG, relations, scalars, state
@@ -27,3 +28,13 @@ def test_keepset_tags_and_reconcile_read_late_orders(spark):
     assert ruled() == {"orders_in_lineitem": False, "flags_in_lineitem": True}
     t.orders = t.orders.where("o_orderkey < 7000")
     assert ruled() == {"orders_in_lineitem": True, "flags_in_lineitem": True}
+
+
+def test_terms_and_masks_reach_the_end_of_long_texts(spark):
+    words = [f"w{i}é" for i in range(20_000)]
+    text = " ".join(words) + " Last@x aeiou"
+    t = SimpleNamespace(documents=spark.createDataFrame([(1, text), (2, "ab"), (3, None)], "doc_id long, text string"))
+    got = {r["doc_id"]: r["terms"] for r in scalars.tokenise_all(t).collect()}
+    assert got == {1: " ".join(sorted([*words, "last", "aeiou"])), 2: "ab", 3: None}
+    masked = {r["doc_id"]: r["masked"] for r in scalars.scalar_regex_suite_all(t).collect()}
+    assert masked == {1: re.sub("[aeiou]+", "_", text), 2: "_b", 3: None}
