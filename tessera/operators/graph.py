@@ -10,6 +10,7 @@ def walk(spark: SparkSession, edges: DataFrame, roots: DataFrame, depth: int, le
 
     A walk ends where it would enter a node of its own trail (marked ``cycle``) or at ``depth``.
     """
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # walks end by themselves; by default a million rows are an error
     edges.createOrReplaceTempView("__walk_edges")
     roots.createOrReplaceTempView("__walk_roots")
     return spark.sql(

@@ -214,10 +214,19 @@ def changed_field_paths(t):
     return a.join(b, ["o_orderkey", "path"]).where(~F.col("old_value").eqNullSafe(F.col("new_value")))
 
 
+def ancestors(t, roots):
+    edges = t.part.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("bigint").alias("dst")).where("src > 1")
+    return graph.walk(t.spark, edges, roots.select(F.col("p_partkey").alias("node")), 60).select("root", "node", "depth")
+
+
 @query("WITH RECURSIVE w(root, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT root, node // 2, depth + 1 FROM w WHERE node > 1) SELECT root, node, depth FROM w")
 def ancestry_closure(t):
-    edges = t.part.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("bigint").alias("dst")).where("src > 1")
-    return graph.walk(t.spark, edges, t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("node")), 60).select("root", "node", "depth")
+    return ancestors(t, t.part.where("p_partkey % 10 = 0"))
+
+
+@query("WITH RECURSIVE w(root, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT root, node // 2, depth + 1 FROM w WHERE node > 1) SELECT root, node, depth FROM w")
+def ancestry_closure_all(t):
+    return ancestors(t, t.part)
 
 
 @query("WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation), w(root, node, depth, trail, cycle) AS (SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), 0, [CAST(n_nationkey AS BIGINT)], false FROM nation UNION ALL SELECT w.root, CAST(e.dst AS BIGINT), w.depth + 1, list_append(w.trail, CAST(e.dst AS BIGINT)), list_contains(w.trail, e.dst) FROM w JOIN e ON e.src = w.node WHERE NOT w.cycle AND w.depth < 40) SELECT root, max(depth) AS steps, bool_or(cycle) AS cycle FROM w GROUP BY root")
@@ -227,21 +236,41 @@ def cycle_guard_walk(t):
     return w.groupBy("root").agg(F.max("depth").alias("steps"), F.bool_or("cycle").alias("cycle"))
 
 
-@query("WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 3) % 97 AS dst FROM part WHERE p_partkey % 4 <> 0), w(root, node, depth, trail, cycle) AS (SELECT p_partkey, p_partkey, 0, [p_partkey], false FROM part WHERE p_partkey < 97 UNION ALL SELECT w.root, e.dst, w.depth + 1, list_append(w.trail, e.dst), list_contains(w.trail, e.dst) FROM w JOIN e ON e.src = w.node WHERE NOT w.cycle AND w.depth < 60), l AS (SELECT root, arg_max(node, depth) AS node, max(depth) AS depth, bool_or(cycle) AS cycle FROM w GROUP BY root) SELECT root, node AS target, CAST(depth AS INTEGER) AS depth, CASE WHEN cycle THEN 'cycle' WHEN node NOT IN (SELECT p_partkey FROM part) THEN 'missing_target' WHEN depth >= 60 THEN 'depth_limit' ELSE 'resolved' END AS outcome FROM l")
-def alias_chain(t):
-    edges = t.part.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 3 % 97).alias("dst"))
-    w = graph.walk(t.spark, edges, t.part.where("p_partkey < 97").select(F.col("p_partkey").alias("node")), 60)
+def aliases(t, sources, roots):
+    edges = sources.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 3 % F.col("m")).alias("dst"))
+    w = graph.walk(t.spark, edges, roots.select(F.col("p_partkey").alias("node")), 60)
     ends = w.groupBy("root").agg(F.max_by("node", "depth").alias("target"), F.max("depth").alias("depth"), F.bool_or("cycle").alias("cycle"))
     known = t.part.select(F.col("p_partkey").alias("target"), F.lit(True).alias("known"))
     outcome = F.when(F.col("cycle"), "cycle").when(F.col("known").isNull(), "missing_target").when(F.col("depth") >= 60, "depth_limit").otherwise("resolved")
     return ends.join(known, "target", "left").select("root", "target", "depth", outcome.alias("outcome"))
 
 
+@query("WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 3) % 97 AS dst FROM part WHERE p_partkey % 4 <> 0), w(root, node, depth, trail, cycle) AS (SELECT p_partkey, p_partkey, 0, [p_partkey], false FROM part WHERE p_partkey < 97 UNION ALL SELECT w.root, e.dst, w.depth + 1, list_append(w.trail, e.dst), list_contains(w.trail, e.dst) FROM w JOIN e ON e.src = w.node WHERE NOT w.cycle AND w.depth < 60), l AS (SELECT root, arg_max(node, depth) AS node, max(depth) AS depth, bool_or(cycle) AS cycle FROM w GROUP BY root) SELECT root, node AS target, CAST(depth AS INTEGER) AS depth, CASE WHEN cycle THEN 'cycle' WHEN node NOT IN (SELECT p_partkey FROM part) THEN 'missing_target' WHEN depth >= 60 THEN 'depth_limit' ELSE 'resolved' END AS outcome FROM l")
+def alias_chain(t):
+    return aliases(t, t.part.withColumn("m", F.lit(97)), t.part.where("p_partkey < 97"))
+
+
+@query("WITH RECURSIVE n AS (SELECT max(p_partkey) - 2 AS m FROM part), e AS (SELECT p_partkey AS src, (p_partkey * 3) % m AS dst FROM part, n WHERE p_partkey % 4 <> 0), w(root, node, depth, trail, cycle) AS (SELECT p_partkey, p_partkey, 0, [p_partkey], false FROM part UNION ALL SELECT w.root, e.dst, w.depth + 1, list_append(w.trail, e.dst), list_contains(w.trail, e.dst) FROM w JOIN e ON e.src = w.node WHERE NOT w.cycle AND w.depth < 60), l AS (SELECT root, arg_max(node, depth) AS node, max(depth) AS depth, bool_or(cycle) AS cycle FROM w GROUP BY root) SELECT root, node AS target, CAST(depth AS INTEGER) AS depth, CASE WHEN cycle THEN 'cycle' WHEN node NOT IN (SELECT p_partkey FROM part) THEN 'missing_target' WHEN depth >= 60 THEN 'depth_limit' ELSE 'resolved' END AS outcome FROM l")
+def alias_chain_all(t):
+    most = t.part.agg((F.max("p_partkey") - 2).alias("m"))  # one row; targets reach over the table
+    return aliases(t, t.part.crossJoin(F.broadcast(most)), t.part)
+
+
+def frontier(t, sources, rounds=30):
+    p = sources.select(F.col("p_partkey").alias("src"), "m")
+    edges = p.select("src", F.explode(F.array(F.col("src") * 2 % F.col("m"), (F.col("src") * 5 + 1) % F.col("m"))).alias("dst"))
+    return graph.closure(edges, t.spark.range(1, 2).select(F.col("id").alias("node")), rounds=rounds)
+
+
 @query("WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 2) % 101 AS dst FROM part WHERE p_partkey < 101 UNION ALL SELECT p_partkey, (p_partkey * 5 + 1) % 101 FROM part WHERE p_partkey < 101), w(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 20) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY node")
 def frontier_closure(t):
-    p = t.part.where("p_partkey < 101").select(F.col("p_partkey").alias("src"))
-    edges = p.withColumn("dst", F.explode(F.array(F.col("src") * 2 % 101, (F.col("src") * 5 + 1) % 101)))
-    return graph.closure(edges, t.spark.range(1, 2).select(F.col("id").alias("node")), rounds=30)
+    return frontier(t, t.part.where("p_partkey < 101").withColumn("m", F.lit(101)))
+
+
+@query("WITH RECURSIVE n AS (SELECT max(p_partkey) + 1 AS m FROM part), e AS (SELECT p_partkey AS src, (p_partkey * 2) % m AS dst FROM part, n UNION ALL SELECT p_partkey, (p_partkey * 5 + 1) % m FROM part, n), w(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 64) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY node")
+def frontier_closure_all(t):
+    most = t.part.agg((F.max("p_partkey") + 1).alias("m"))  # one row
+    return frontier(t, t.part.crossJoin(F.broadcast(most)), rounds=64)  # raises if there is more to reach
 
 
 @query(

@@ -3,6 +3,9 @@
 import re
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
+from tessera.operators import graph
 from tessera.queries import CATALOG, relations, scalars, state
 
 
@@ -38,3 +41,39 @@ def test_terms_and_masks_reach_the_end_of_long_texts(spark):
     assert got == {1: " ".join(sorted([*words, "last", "aeiou"])), 2: "ab", 3: None}
     masked = {r["doc_id"]: r["masked"] for r in scalars.scalar_regex_suite_all(t).collect()}
     assert masked == {1: re.sub("[aeiou]+", "_", text), 2: "_b", 3: None}
+
+
+def test_graphs_take_every_part(spark):
+    n = 300
+    t = SimpleNamespace(spark=spark, part=spark.range(n).select(F.col("id").alias("p_partkey")))
+    want = set()
+    for root in range(n):
+        node, depth = root, 0
+        want.add((root, node, depth))
+        while node > 1:
+            node, depth = node // 2, depth + 1
+            want.add((root, node, depth))
+    assert set(map(tuple, relations.ancestry_closure_all(t).collect())) == want
+
+    chains = {}
+    for root in range(n):
+        trail, outcome = [root], "resolved"
+        while trail[-1] % 4 and outcome == "resolved":
+            nxt = trail[-1] * 3 % (n - 3)
+            outcome = "cycle" if nxt in trail else "depth_limit" if len(trail) == 60 else "resolved"
+            trail.append(nxt)
+        chains[root] = (trail[-1], len(trail) - 1, outcome)
+    assert {r["root"]: (r["target"], r["depth"], r["outcome"]) for r in relations.alias_chain_all(t).collect()} == chains
+
+    seen, edge = {1: 0}, [1]
+    for node in edge:
+        for nxt in (node * 2 % n, (node * 5 + 1) % n):
+            if nxt not in seen:
+                seen[nxt] = seen[node] + 1
+                edge.append(nxt)
+    assert dict(map(tuple, relations.frontier_closure_all(t).collect())) == seen and max(seen) > 101
+
+
+def test_walks_have_no_row_limit(spark):
+    roots = spark.range(1_000_001).select(F.col("id").alias("node"))
+    assert graph.walk(spark, spark.createDataFrame([(1, 2)], "src long, dst long"), roots, 3).count() == 1_000_002
