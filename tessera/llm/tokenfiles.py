@@ -40,6 +40,7 @@ class ChunkEncoder:
             raise ValueError("ids are kept in 16 bits; this vocabulary is larger")
         self._closes = np.zeros(1 << 16, bool)  # ids that end a pre-token
         self._closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._marks = {t.content[:2].lower().encode() for t in self._tokenizer.get_added_tokens_decoder().values()}
         self._known: dict[bytes, bytes] = {}  # chunks; words and tails are chunks too
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -92,10 +93,16 @@ class ChunkEncoder:
             some = whole[k : k + 8192]
             known.update(zip(some, self._plain([c.decode() for c in some]), strict=True))
 
+    def _folded(self, text: bytes) -> bytes:
+        """Lower case is part of the tokenizer's normalizer; in plain ASCII it can come first, but not where an added token, which is matched before it, may stand."""
+        if not text.isascii():
+            return text
+        low = text.lower()
+        return text if any(m in low for m in self._marks) else low
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        # lower case is part of the tokenizer's normalizer; in plain ASCII it can come first
-        split = [(t.lower() if t.isascii() else t).split() for t in texts]
+        split = [self._folded(t).split() for t in texts]
         known = self._known
         if len(known) > CACHE_CHUNKS:
             for key in list(known)[: len(known) // 2]:
