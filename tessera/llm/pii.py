@@ -93,6 +93,20 @@ def labelled_rows(n: int = 600, seed: int = 11) -> list[tuple[str, list[tuple[st
     def digits(k):
         return "".join(rng.choice("0123456789") for _ in range(k))
 
+    def card(k, valid=True):
+        """Digits that pass the card numbers' checksum, or just do not."""
+        body = digits(k - 1)
+        return body + rng.choice([d for d in "0123456789" if luhn(body + d) == valid])
+
+    def fours(number, sep=" "):
+        return sep.join(number[i : i + 4] for i in range(0, 16, 4))
+
+    def cards():
+        """Two or three card numbers side by side, or one beside another number: base patterns join these."""
+        if rng.random() < 0.5:
+            return [card(rng.randint(13, 19)) for _ in range(rng.randint(2, 3))]
+        return [rng.choice([fours, str])(card(16)) for _ in range(2)]
+
     def phrase(k):
         return " ".join(word() for _ in range(k))
 
@@ -107,16 +121,27 @@ def labelled_rows(n: int = 600, seed: int = 11) -> list[tuple[str, list[tuple[st
             return kind, rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} ({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"])
         if kind == "ip":
             return kind, ".".join(str(rng.randint(0, 255)) for _ in range(4))
-        return kind, f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}"
+        return kind, rng.choice([fours(card(16)), fours(card(16), "-"), card(rng.randint(13, 19)), card(16)])
 
     def negative():
-        return rng.choice([f"{digits(1)}.{digits(1)}.{digits(1)}", digits(rng.randint(1, 20)), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}", f"{digits(2)}:{digits(2)}", f"${digits(3)}.{digits(2)}", f"{digits(3)},{digits(3)}", f"{word()}{digits(2)}{word()}", f"| {digits(2)} | {digits(3)} | {digits(2)} |", f"{digits(3)} {digits(3)} {digits(4)}", "the dot is at the end", ".".join(str(rng.randint(200, 999)) for _ in range(4))])
+        return rng.choice([f"{digits(1)}.{digits(1)}.{digits(1)}", digits(rng.randint(1, 12)), card(rng.randint(13, 19), False), digits(20), f"{digits(4)}-{digits(2)}-{digits(2)}", fours(card(16, False)), f"{digits(2)}:{digits(2)}", f"${digits(3)}.{digits(2)}", f"{digits(3)},{digits(3)}", f"{word()}{digits(2)}{word()}", f"| {digits(2)} | {digits(3)} | {digits(2)} |", f"{digits(3)} {digits(3)} {digits(4)}", "the dot is at the end", ".".join(str(rng.randint(200, 999)) for _ in range(4))])
 
     rows = []
     for i in range(n):
         text = phrase(rng.randint(1, 5)) + " "
         spans = []
-        if i % 2:
+        if i % 8 == 1:
+            body = ""
+            if rng.random() < 0.4:
+                body = digits(rng.randint(1, 6)) + " "
+                numbers = [card(rng.randint(13, 19))]
+            else:
+                numbers = cards()
+            for number in numbers:
+                spans.append(("card", len(text) + len(body), len(text) + len(body) + len(number)))
+                body += number + " "
+            body = body[:-1]
+        elif i % 2:
             kind, body = positive()
             spans.append((kind, len(text), len(text) + len(body)))
         else:
@@ -173,14 +198,43 @@ def sequences(text: str) -> list[list[tuple[int, int]]]:
 _SIGNAL_ANY = re.compile(r"[0-9@]|\bdot\b")
 
 
+_EDGE = "\"'<>[]{},;:.!?()"
+
+
+def card_marks(words: list[str]) -> list[str]:
+    """For each word whether it begins ("B") or goes on ("I") a number of 13 to 19 digits that passes the cards' checksum, is one that fails it ("n"), or none.
+
+    Words of four digits count where a run of them is cut into valid fours of words without a rest.
+    """
+    out = [""] * len(words)
+    bare = [w.strip(_EDGE) if w[:1].isascii() and any(c.isdigit() for c in w) else "" for w in words]
+    i = 0
+    while i < len(bare):
+        number = bare[i].replace("-", "")
+        if not (number.isascii() and number.isdigit()):
+            i += 1
+            continue
+        if 13 <= len(number) <= 19:
+            out[i] = "B" if luhn(number) else "n"
+        to = i
+        while to < len(bare) and len(bare[to]) == 4 and bare[to].isascii() and bare[to].isdigit():
+            to += 1
+        if to > i and (to - i) % 4 == 0:
+            valid = all(luhn("".join(bare[k : k + 4])) for k in range(i, to, 4))
+            out[i:to] = ["n"] * (to - i) if not valid else ["B", "I", "I", "I"] * ((to - i) // 4)
+        i = max(to, i + 1)
+    return out
+
+
 def features(text: str, seq: list[tuple[int, int]]) -> list[list[int]]:
     words = [text[a:b] for a, b in seq]
+    marks = card_marks(words)
     shapes = ["^", *(_shape(w) for w in words), "$"]
     cues = ["", *(c if (c := w.strip(".,;:[]()").lower()) in _CUES else "" for w in words), ""]
     out = []
     for i in range(1, len(words) + 1):
         s, p, n = shapes[i], shapes[i - 1], shapes[i + 1]
-        out.append([_hash(f) for f in (f"s{s}", f"p{p}", f"n{n}", f"ps{p} {s}", f"sn{s} {n}", f"c{cues[i]}", f"cp{cues[i - 1]}", f"cn{cues[i + 1]}")])
+        out.append([_hash(f) for f in (f"s{s}", f"p{p}", f"n{n}", f"ps{p} {s}", f"sn{s} {n}", f"c{cues[i]}", f"cp{cues[i - 1]}", f"cn{cues[i + 1]}", f"m{marks[i - 1]}", f"ms{marks[i - 1]}{s}")])
     return out
 
 
