@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import regex as re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ MAX_TERMS = 64
 
 def query_terms(query: str) -> list[str]:
     """Distinct terms of a query in order: lower case, split at what is no letter, digit or underscore, two bytes at least."""
-    words = re.sub(r"\W+", " ", query.strip().lower()).split(" ")
+    words = re.sub(r"[^\p{Alphabetic}\p{N}_]+", " ", query.strip().lower()).split(" ")
     terms = list(dict.fromkeys(w for w in words if len(w.encode()) >= 2))
     if len(terms) > MAX_TERMS:
         raise ValueError(f"{len(terms)} search terms; {MAX_TERMS} are allowed")

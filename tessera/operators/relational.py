@@ -89,10 +89,12 @@ def changed_keys(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def touching(edges: DataFrame, ends: Sequence[str], chosen: DataFrame, key: str) -> DataFrame:
-    """Edges with any end among ``chosen``: ends are unfolded to an equi-join, so no pair of tables is compared row by row."""
-    ids = [c for c in edges.columns if c not in ends]
-    hit = edges.withColumn("__end", F.explode(F.array_distinct(F.array(*ends)))).join(chosen.select(F.col(key).alias("__end")).distinct(), "__end", "left_semi")
-    return hit.select(*ids, *ends).distinct()
+    """Edges with any end among ``chosen``, each as often as it stands: every end is marked by an equi-join, so no pair of tables is compared row by row."""
+    marked = edges
+    for i, end in enumerate(ends):
+        ids = chosen.select(F.col(key).alias(f"__key{i}")).distinct().withColumn(f"__hit{i}", F.lit(True))
+        marked = marked.join(ids, F.col(end) == F.col(f"__key{i}"), "left")
+    return marked.where(F.coalesce(*(f"__hit{i}" for i in range(len(ends))))).select(edges.columns)
 
 
 def under(rows: DataFrame, path: str, roots: DataFrame, root: str, sep: str = "/") -> DataFrame:

@@ -1,8 +1,9 @@
-"""Where Python workers find the library."""
+"""What a session and its Python workers share: the library, and the folder for checkpoints."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +17,21 @@ def reach_workers(spark: SparkSession) -> None:
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, as ``spark.checkpoint.dir`` or the context names it.
+
+    On one machine (a ``local`` master) a new folder takes its place where it is unset; on a cluster
+    that is an error, since machines don't share a temporary folder.
+    """
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or (current.get() if current.isDefined() else None)
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = f"file://{tempfile.mkdtemp(prefix='tessera-shared-')}"
+    if not current.isDefined():
+        context.setCheckpointDir(found)
+    return found

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.sources.cohorts import CohortTable
+from tessera.sources.cohorts import CohortTable, ConflictError
+
+#: How often a batch is applied again because another writer was first.
+RETRIES = 5
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -27,14 +30,22 @@ def apply_changes(current: DataFrame, batch: DataFrame, keys: list[str], order:
 def project_stream(changes: DataFrame, target: CohortTable, keys: list[str], order: str, project: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Keep ``target`` equal to the projection of all changes so far.
 
-    A batch's number is the version it makes, so a repeated batch finds its version made
-    and changes nothing.
+    A version's manifest holds the number of the last batch in it, so a repeated batch changes nothing, and
+    versions of another making (a compaction, say) may come between.  A batch that meets one while it commits is applied again on top.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        if target.version() > number:
-            return
-        rows = apply_changes(target.read(number), project(batch), keys, order)
-        target.append(rows.select(target.schema.names), number, target.manifest(number))
+        changed = project(batch)
+        for left in range(RETRIES, -1, -1):
+            version = target.version()
+            if target.batch(version) >= number:
+                return
+            rows = apply_changes(target.read(version), changed, keys, order)
+            try:
+                target.append(rows.select(target.schema.names), version, target.manifest(version), number)
+                return
+            except ConflictError:
+                if not left:
+                    raise
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -67,3 +67,31 @@ def test_stream_equals_batch(spark, table):
     assert {tuple(r) for r in table.read().collect()} == {(1, "A"), (3, "c")}
     whole = spark.createDataFrame([r for b in batches for r in b], schema)
     assert {tuple(r) for r in apply_changes(rows(spark).limit(0), whole, ["key"], "seq").collect()} == {(1, "A"), (3, "c")}
+
+
+def test_a_vacuumed_version_is_missing(spark, table):
+    table.append(rows(spark, (1, "a")))
+    table.append(rows(spark, (2, "b")), replace=table.manifest(1))
+    table.vacuum([])
+    assert table.read().count() == 1
+    with pytest.raises(MissingVersionError):
+        table.read(1)
+
+
+def test_repeated_keys_have_one_line_in_a_change_plan(spark):
+    old = rows(spark, (1, "a"), (1, "a"), (2, "b"), (2, "c"), (None, "x"))
+    new = rows(spark, (1, "a"), (2, "c"), (2, "b"), (3, None), (3, None))
+    assert sorted(map(tuple, change_plan(old, new, ["key"]).collect()), key=str) == [(1, "update"), (3, "insert"), (None, "delete")]
+
+
+def test_other_versions_between_batches_lose_none(spark, table):
+    folder = tempfile.mkdtemp()
+    schema = "key long, v string, seq long, deleted boolean"
+    for i in range(1, 4):
+        spark.createDataFrame([(i, "x", i, False)], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        project_stream(stream, table, ["key"], "seq", lambda d: d, f"{folder}/ck").awaitTermination()
+        if i == 1:
+            table.compact()
+            table.compact()
+    assert {r["key"] for r in table.read().collect()} == {1, 2, 3} and table.batch(table.version()) == 2
