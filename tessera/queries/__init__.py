@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.queries import relations, scalars, search, state
+from tessera.queries import forms, relations, scalars, search, selection, state
 from tessera.queries.registry import CATALOG
 
-__all__ = ["CATALOG", "relations", "scalars", "search", "state"]
+__all__ = ["CATALOG", "forms", "relations", "scalars", "search", "selection", "state"]

@@ -44,13 +44,8 @@ def matches(masked):
     return [F.col("text").rlike("[0-9]{4}").alias("has_number"), F.regexp_replace(masked, "[aeiou]+", "_").alias("masked"), F.regexp_extract("text", "([a-z]+)@", 1).alias("mail_name")]
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '[0-9]{4}') AS has_number, regexp_replace(left(text, 50), '[aeiou]+', '_', 'g') AS masked, regexp_extract(text, '([a-z]+)@', 1) AS mail_name FROM documents")
-def scalar_regex_suite(t):
-    return t.documents.select("doc_id", *matches(F.left(F.col("text"), F.lit(50))))
-
-
 @query(r"SELECT doc_id, regexp_matches(text, '[0-9]{4}') AS has_number, regexp_replace(text, '[aeiou]+', '_', 'g') AS masked, regexp_extract(text, '([a-z]+)@', 1) AS mail_name FROM documents")
-def scalar_regex_suite_all(t):
+def scalar_regex_suite(t):
     return t.documents.select("doc_id", *matches(F.col("text")))
 
 
@@ -92,13 +87,8 @@ def tag_counts(lines):
     return tags.groupBy("l_orderkey", "tag").agg(F.count("*").alias("n"))
 
 
-@query("SELECT i.l_orderkey, i.tag, count(*) AS n FROM (SELECT l_orderkey, unnest([l_returnflag, l_linestatus, NULL]) AS tag FROM lineitem WHERE l_orderkey < 200) i GROUP BY ALL")
-def unnest_keep_nulls(t):
-    return tag_counts(t.lineitem.where("l_orderkey < 200"))
-
-
 @query("SELECT i.l_orderkey, i.tag, count(*) AS n FROM (SELECT l_orderkey, unnest([l_returnflag, l_linestatus, NULL]) AS tag FROM lineitem) i GROUP BY ALL")
-def unnest_keep_nulls_all(t):
+def unnest_keep_nulls(t):
     return tag_counts(t.lineitem)
 
 
@@ -119,13 +109,8 @@ def scalar_hash_suite(t):
     return t.region.select("r_regionkey", F.sha2("r_name", 256).alias("digest"), F.lower(F.hex(F.encode("r_name", "UTF-8"))).alias("hexed"), F.sha2(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")), 256).alias("identity"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(left(text, 80)), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda x: strlen(x) >= 2))), ' ') AS terms FROM documents")
-def tokenise(t):
-    return t.documents.select("doc_id", F.array_join(F.array_sort(terms(F.left(F.col("text"), F.lit(80)))), " ").alias("terms"))
-
-
 @query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda x: strlen(x) >= 2))), ' ') AS terms FROM documents")
-def tokenise_all(t):
+def tokenise(t):
     return t.documents.select("doc_id", F.array_join(F.array_sort(terms(F.col("text"))), " ").alias("terms"))
 
 
