@@ -88,6 +88,11 @@ def changed_keys(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
     return both.where(~F.col("__old").eqNullSafe(F.col("__new"))).select(*keys, change.alias("change"))
 
 
+def once(rows: DataFrame, **columns) -> DataFrame:
+    """``rows`` with these columns, each evaluated once a row however often it is used: neither filters nor projections move through a generator."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def touching(edges: DataFrame, ends: Sequence[str], chosen: DataFrame, key: str) -> DataFrame:
     """Edges with any end among ``chosen``, each as often as it stands: every end is marked by an equi-join, so no pair of tables is compared row by row."""
     marked = edges

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import contains_any, count_terms, query_terms
-from tessera.operators.relational import after, ordered_set, pick
+from tessera.operators.relational import after, once, ordered_set, pick
 
 #: Fixed values of the ranking.
 WEIGHTS = {
@@ -31,16 +31,30 @@ def _sum(points: list[tuple[str, Column, Column]]) -> Column:
     return F.when(F.size(factors) > 0, F.struct(F.aggregate(factors, F.lit(0), lambda a, x: a + x["points"]).alias("score"), factors.alias("factors")))
 
 
+def _fragment_rules(exact: Column, token: Column, hits: Column) -> list[tuple[str, Column, Column]]:
+    return [
+        ("subject_exact", exact, F.lit(WEIGHTS["subject_exact"])),
+        ("subject_token", token, F.lit(WEIGHTS["subject_token"])),
+        ("text_token", hits > 0, F.least(hits, F.lit(3)) * WEIGHTS["text_token"]),
+    ]
+
+
 def rank_fragment(query: str, subject: Column, text: Column) -> Column:
     q, wanted = query.strip().lower(), query_terms(query)
-    subject, hits = F.lower(subject), count_terms(F.lower(text), wanted)
-    return _sum(
-        [
-            ("subject_exact", F.coalesce(subject == q, F.lit(False)) & F.lit(q != ""), F.lit(WEIGHTS["subject_exact"])),
-            ("subject_token", contains_any(subject, wanted), F.lit(WEIGHTS["subject_token"])),
-            ("text_token", hits > 0, F.least(hits, F.lit(3)) * WEIGHTS["text_token"]),
-        ]
-    )
+    subject = F.lower(subject)
+    return _sum(_fragment_rules(F.coalesce(subject == q, F.lit(False)) & F.lit(q != ""), contains_any(subject, wanted), count_terms(F.lower(text), wanted)))
+
+
+def score_fragments(rows: DataFrame, query: str, subject: str, text: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` and ``score`` of the rows that rank at all; a text is lowered and looked through once."""
+    q, wanted = query.strip().lower(), query_terms(query)
+    low = once(rows.select(*keep, F.col(text).alias("__text"), F.col(subject).alias("__subject")), __low=F.lower("__text"), __name=F.lower("__subject")).drop("__text", "__subject")
+    name = F.col("__name")
+    facts = once(low, __exact=F.coalesce(name == q, F.lit(False)) & F.lit(q != ""), __token=contains_any(name, wanted), __hits=count_terms(F.col("__low"), wanted))
+    score = F.lit(0)
+    for _, condition, points in _fragment_rules(F.col("__exact"), F.col("__token"), F.col("__hits")):
+        score = score + F.when(condition, points).otherwise(0)
+    return facts.select(*keep, score.cast("int").alias("score")).where("score > 0")
 
 
 def rank_symbol(query: str, path: Column, name: Column, signature: Column, summary: Column, docs: Column, reexport: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.text import path_prefix, path_suffix
-from tessera.operators.relational import budget_prefix, ordered_list, page, page_boundary, pick, under
+from tessera.operators.relational import budget_prefix, once, ordered_list, page, page_boundary, pick, under
 from tessera.plans import search
 from tessera.queries.registry import query
 
@@ -21,8 +21,7 @@ _FRAGMENTS = f"""
 
 
 def fragments(t):
-    r = search.rank_fragment(_QUERY, F.col("source"), F.col("text"))
-    return t.documents.select("doc_id", "source", "lang", r.alias("r")).where("r IS NOT NULL").select("doc_id", "source", "lang", F.col("r.score").alias("score"))
+    return search.score_fragments(t.documents, _QUERY, "source", "text", ["doc_id", "source", "lang"])
 
 
 @query(f"SELECT doc_id, source, lang, CAST(score AS INTEGER) AS score FROM ({_FRAGMENTS}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50")
@@ -62,7 +61,7 @@ _SYMBOLS = """
 def search_symbols(t):
     none = F.lit(None).cast("string")
     r = search.rank_symbol("widget", F.col("path"), F.col("name"), none, none, none, F.col("is_reexport"))
-    hits = symbols(t).withColumn("r", r).where("r IS NOT NULL").withColumn("score", F.col("r.score"))
+    hits = once(symbols(t), r=r).where("r IS NOT NULL").withColumn("score", F.col("r.score"))
     best = search.fold(hits.drop("r"), "definition", [F.desc("score"), F.asc("is_reexport"), F.asc("path"), F.asc("symbol_id")], "path")
     return best.select("definition", "symbol_id", "path", "score", F.array_join("also_at", ",").alias("also_at"))
 
