@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.queries import forms, jobs, relations, scalars, search, selection, state
+from tessera.queries import forms, jobs, relations, research, scalars, search, selection, state
 from tessera.queries.registry import CATALOG
 
-__all__ = ["CATALOG", "forms", "jobs", "relations", "scalars", "search", "selection", "state"]
+__all__ = ["CATALOG", "forms", "jobs", "relations", "research", "scalars", "search", "selection", "state"]
