@@ -6,12 +6,10 @@ with the merge table, takes each word's minimum-rank pair, leftmost first, and
 contracts it, until no word has a pair left.  Decoding joins ids with the vocabulary
 and puts the bytes together by ordered aggregation.
 
-The split pattern is applied to runs between single spaces: a boundary before a lone
-space that has no white space on either side is always a piece boundary.  Distinct
-runs and pieces are encoded once per worker and remembered (``CACHE``), so the query
-works on distinct pieces, not on all words.  Pieces longer than ``LONG`` bytes take a
-heap that contracts in the same order, since the recursive query's rows grow with the
-square of a piece's length.
+Distinct pieces of the split pattern are encoded once per worker and remembered, within
+``MEMORY_BYTES``, so the query works on distinct pieces, not on all words.  Pieces longer than
+``LONG`` bytes take a heap that contracts in the same order, since the recursive query's rows
+grow with the square of a piece's length.
 
 Defined results: null and empty texts have no ids and decode to no bytes; ids outside
 the vocabulary raise an error; repeated and null doc_ids keep a row each.
@@ -22,7 +20,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import wordhash
+from tessera.llm import memory, wordhash
 
-#: Remembered runs and pieces, each, per Python worker; the older half goes when full.
-CACHE = 300_000
+#: Bytes of remembered pieces per Python worker.
+MEMORY_BYTES = 40 << 20
 LONG = 512
-#: Text bytes of one encoding round, and ids of one decoding query.
-ROUND_BYTES, ROUND_IDS = 6 << 20, 1 << 20
-
-_IRREGULAR = re.compile(r"\s | \s")
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Text bytes of one encoding round, pieces of one encoding query, and ids of one decoding query.
+ROUND_BYTES, ROUND_PIECES, ROUND_IDS = 1 << 20, 25_000, 1 << 18
+#: Rounds after which the allocator's free pages go back to the system.
+TIDY = 8
 
 _CONTRACT = """
 WITH RECURSIVE t(word, pos, id, done) AS (
@@ -75,7 +71,7 @@ class Codec:
         self.ranks = load_ranks(ranks_path)
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "96MB"})
         pairs, merged = [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -87,8 +83,7 @@ class Codec:
         # a byte b is spelled as the character U+0100 + b, so that any bytes make valid text
         self._table("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "spelled": ["".join(chr(256 + b) for b in token) for token in self.ranks]}))
         self.top = max(self.ranks.values())
-        self.pieces: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.pieces = memory.Memory(MEMORY_BYTES)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.con.register("incoming", rows)
@@ -143,29 +138,22 @@ class Codec:
             raw = piece.encode()
             rank = self.ranks.get(raw)
             if rank is not None:
-                self.pieces[piece] = rank.to_bytes(4, "little")
+                self.pieces.learn([piece], [rank.to_bytes(4, "little")])
             elif len(raw) > LONG:
-                self.pieces[piece] = self.contract_long(raw)
+                self.pieces.learn([piece], [self.contract_long(raw)])
             else:
                 ask.append(raw)
                 keys.append(piece)
-        for k in range(0, len(ask), 100_000):
-            self.pieces.update(zip(keys[k : k + 100_000], self.contract(ask[k : k + 100_000]), strict=True))
+        for k in range(0, len(ask), ROUND_PIECES):
+            self.pieces.learn(keys[k : k + ROUND_PIECES], self.contract(ask[k : k + ROUND_PIECES]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for store in (self.runs, self.pieces):
-            if len(store) > CACHE:
-                for key in list(store)[: len(store) // 2]:
-                    del store[key]
-        split = [_SAFE.split(t) if _IRREGULAR.search(t) else t.split(" ") for t in texts]
-        heads = [self.pattern.findall(s[0]) for s in split]
-        fresh = list({r for s in split for r in s[1:]} - self.runs.keys())
-        cut = [self.pattern.findall(" " + r) for r in fresh]
-        self._learn(list({p for found in (heads, cut) for c in found for p in c} - self.pieces.keys()))
-        pieces, runs = self.pieces, self.runs
-        runs.update((r, b"".join([pieces[p] for p in c])) for r, c in zip(fresh, cut, strict=True))
-        return [b"".join([pieces[p] for p in h]) + b"".join([runs[r] for r in s[1:]]) for h, s in zip(heads, split, strict=True)]
+        self.pieces.shrink()
+        split = [self.pattern.findall(t) for t in texts]
+        self._learn(list(set().union(*split) - self.pieces.keys()))
+        known = self.pieces.__getitem__
+        return [b"".join(map(known, pieces)) for pieces in split]
 
     # -- decoding --
 
@@ -191,6 +179,7 @@ class Codec:
 
 
 _workers: dict[tuple[str, str], Codec] = {}
+memory.keeps("bpe", _workers.clear)
 
 
 def codec(ranks_path: str, pattern: str) -> Codec:
@@ -202,14 +191,19 @@ def codec(ranks_path: str, pattern: str) -> Codec:
 
 
 def _encoded(batches, ranks_path: str, pattern: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    done = 0
     for batch in batches:
         for part in wordhash.slices(batch, limit=ROUND_BYTES):
+            done += 1
+            if done % TIDY == 0:
+                memory.release()
             yield part, codec(ranks_path, pattern).encode([t or "" for t in part.column("text").to_pylist()])
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``ids`` (little-endian 32-bit)."""
 
+    @memory.task("bpe")
     def run(batches):
         for part, ids in _encoded(batches, ranks_path, pattern):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -220,6 +214,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``bytes`` of rows of ids."""
 
+    @memory.task("bpe")
     def run(batches):
         for batch in batches:
             for part in wordhash.slices(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["doc_id", "ids"]), "ids", ROUND_BYTES):
@@ -232,6 +227,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool =
     """Encode, decode the ids, and keep counts and digests of both sides (and the ids themselves, if asked)."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
+    @memory.task("bpe")
     def run(batches):
         for part, ids in _encoded(batches, ranks_path, pattern):
             back = codec(ranks_path, pattern).decode(ids)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import store, wordhash as wh
+from tessera.llm import memory, store, wordhash as wh
 from tessera.llm.components import components
 
 #: Frequent n-grams that are moved to the end of the order: at most so many, each held by
@@ -114,6 +114,7 @@ def _identity(values: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def frequent_grams(docs: DataFrame, rule: Rule) -> np.ndarray:
     """The most widely shared n-grams, rarest first (at most ``FREQUENT``)."""
 
+    @memory.task("ngramjoin")
     def run(batches):
         seen: set[int] = set()
         pieces: list[np.ndarray] = []
@@ -153,6 +154,7 @@ def nodes_of(docs: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))  # at most FREQUENT entries
 
+    @memory.task("ngramjoin")
     def run(batches):
         hot, rank = shared.value
         for batch in batches:
@@ -299,6 +301,7 @@ def linked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose whole sets link.  Only the texts of nodes in a pair are turned into sets again."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
+    @memory.task("ngramjoin")
     def to_sets(batches):
         for batch in batches:
             for part in wh.slices(batch):
@@ -309,6 +312,7 @@ def linked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     sets = store.materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id").mapInArrow(to_sets, "node long, grams binary"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
 
+    @memory.task("ngramjoin")
     def check(batches):
         for batch in batches:
             a, b = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("a", "b"))

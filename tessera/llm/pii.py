@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm import wordhash
+from tessera.llm import memory, wordhash
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -419,6 +419,7 @@ def find(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
     shared = _model(docs, crf)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
+    @memory.task("pii")
     def run(batches):
         crf = Crf(*shared.value)
         for batch in batches:
@@ -437,6 +438,7 @@ def redact(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
     shared = _model(docs, crf)
     schema = T.StructType(docs.schema.fields)
 
+    @memory.task("pii")
     def run(batches):
         crf = Crf(*shared.value)
         for batch in batches:

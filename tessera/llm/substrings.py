@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import store, wordhash as wh
+from tessera.llm import memory, store, wordhash as wh
 from tessera.llm.fmindex import FMIndex, matching_statistics
 
 GRAM = 8
@@ -67,6 +67,7 @@ def segments(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.
 def describe(docs: DataFrame, width: int) -> DataFrame:
     """A row for each different text: ``tid``, ``copies`` and its segments (start, windows, minimiser, name)."""
 
+    @memory.task("substrings")
     def run(batches):
         for batch in batches:
             for part in wh.slices(batch):
@@ -98,6 +99,7 @@ def contents(docs: DataFrame, once: DataFrame, width: int) -> DataFrame:
     marked = once.join(held, "minimiser", "left").withColumn("hot", F.col("held").isNotNull())
     asked = marked.groupBy("tid").agg(F.collect_list(F.struct("start", "windows", "minimiser", "name", "weight", "hot")).alias("asked"))
 
+    @memory.task("substrings")
     def run(batches):
         for batch in batches:
             for part in wh.slices(batch):
@@ -182,6 +184,7 @@ def drop_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     store.discard(given0, found)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    @memory.task("substrings")
     def run(batches):
         for batch in batches:
             for part in wh.slices(batch):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm import wordhash as wh
+from tessera.llm import memory, wordhash as wh
 
 BITS = 20
 #: Bytes of a word's beginning that make a feature of their own.
@@ -123,6 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 1, max_positive: i
     open_ids = docs.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != held_out)).select("doc_id").orderBy(order, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
     ids = picked.unionByName(open_ids)  # at most max_positive + max_unlabelled rows: a fixed bound
 
+    @memory.task("toxicity")
     def extract(batches):
         for batch in batches:
             for part in wh.slices(batch):
@@ -149,6 +150,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     base = docs.drop("score")
     schema = StructType([*base.schema.fields, StructField("score", DoubleType())])
 
+    @memory.task("toxicity")
     def run(batches):
         index, weight, bias = shared.value
         w = Model(index, weight, bias).dense()

@@ -22,6 +22,8 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from tessera.llm import memory
+
 VERSION = b"WARC/1.1\r\n"
 _OPEN = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC = b"\x1f\x8b\x08"
@@ -189,6 +191,7 @@ def write_archives(pages, folder: str, compress: bool = True, file_bytes: int =
     """
     from tessera.llm.store import write_file
 
+    @memory.task("warc")
     def run(batches):
         from pyspark import TaskContext
 
@@ -222,6 +225,7 @@ def read_archives(files, keep_payload: bool = True, gaps: bool = False):
     """Read every archive of ``files`` (a column ``path``): its records, or with ``gaps`` its quarantined byte ranges."""
     from tessera.llm.store import read_file
 
+    @memory.task("warc")
     def run(batches):
         import pyarrow as pa
 

@@ -14,8 +14,8 @@ import pyarrow as pa
 
 U = np.uint64
 
-#: Texts are hashed in slices of about this many bytes (one text may be longer).
-SLICE_BYTES = 3 << 20
+#: Texts are worked on in slices of about this many bytes (one text may be longer; its words are hashed in such slices too).
+SLICE_BYTES = 1 << 20
 
 _DELIM = np.zeros(256, bool)
 _DELIM[[0x20, 9, 10, 11, 12, 13]] = True
@@ -32,7 +32,9 @@ def _power(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         row = np.full(max(n, 1 << 16), base, U)
         row[0] = 1
-        have = _powers[base] = np.cumprod(row, dtype=U)
+        have = np.cumprod(row, dtype=U)
+        if len(have) <= 2 * SLICE_BYTES:  # a longer table is for one long text and not kept
+            _powers[base] = have
     return have[:n]
 
 
@@ -89,14 +91,30 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (of its A-Z-lowered bytes, if asked)."""
-    if not len(starts):
-        return np.zeros(0, U)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum((_LOWER if lower else _BYTES)[data] * _power(_BASE, len(data)), dtype=U, out=total[1:])
-    sums = (total[ends] - total[starts]) * _power(_INVERSE, len(data))[starts]
-    return mix(sums + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word's bytes (of its A-Z-lowered bytes, if asked; with ``other``, a second one).  ``starts`` and ``ends`` rise."""
+    out = np.zeros(len(starts), U)
+    table = _LOWER if lower else _BYTES
+    if other:
+        table = mix(table)
+    at = 0
+    while at < len(starts):
+        begin = int(starts[at])
+        to = int(np.searchsorted(ends, begin + SLICE_BYTES, "right"))
+        if to <= at:  # one word longer than a slice
+            to, total = at + 1, 0
+            for k in range(begin, int(ends[at]), SLICE_BYTES):
+                piece = data[k : min(k + SLICE_BYTES, int(ends[at]))]
+                total += int((table[piece] * _power(_BASE, len(piece))).sum(dtype=U)) * pow(_BASE, k - begin, 1 << 64)
+            out[at] = U(total % (1 << 64))
+        else:
+            piece = data[begin : int(ends[to - 1])]
+            total = np.zeros(len(piece) + 1, U)
+            np.cumsum(table[piece] * _power(_BASE, len(piece)), dtype=U, out=total[1:])
+            s = starts[at:to] - begin
+            out[at:to] = (total[ends[at:to] - begin] - total[s]) * _power(_INVERSE, len(piece))[s]
+        at = to
+    return mix(out + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
