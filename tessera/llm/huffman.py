@@ -99,17 +99,17 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, lengths: np.ndarray)
     return out.reshape(-1)[:n]
 
 
-def pack_shard(doc_ids: np.ndarray, n_tokens: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
-    """One shard file: header, zlib-packed code lengths, document table and block offsets, then the bits, each with a CRC."""
+def pack_shard(doc_ids: np.ndarray, n_tokens: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, nulls: int = 0) -> bytes:
+    """One shard file: header with the number of leading rows without an id, zlib-packed code lengths, document table and block offsets, then the bits, each with a CRC."""
     words, offsets = encode(ids, lengths, codes)
     parts = [zlib.compress(x, 1) for x in (lengths.tobytes(), doc_ids.astype("<i8").tobytes(), n_tokens.astype("<i8").tobytes(), offsets.astype("<i8").tobytes())] + [words.tobytes()]
-    head = struct.pack("<8sQQ", _MAGIC, len(doc_ids), len(ids)) + b"".join(struct.pack("<QI", len(p), zlib.crc32(p)) for p in parts)
+    head = struct.pack("<8sQQ", _MAGIC, nulls, len(ids)) + b"".join(struct.pack("<QI", len(p), zlib.crc32(p)) for p in parts)
     return head + b"".join(parts)
 
 
-def unpack_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, token counts and all ids of a shard file."""
-    magic, _, n = struct.unpack_from("<8sQQ", data)
+def unpack_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """doc_ids, token counts and all ids of a shard file, and how many leading rows have no doc_id."""
+    magic, nulls, n = struct.unpack_from("<8sQQ", data)
     if magic != _MAGIC:
         raise ValueError("not a shard of Huffman-coded ids")
     at, parts = 24 + 12 * 5, []
@@ -122,4 +122,4 @@ def unpack_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at += size
     lengths, docs, counts, offsets = (zlib.decompress(p) for p in parts[:4])
     ids = decode(np.frombuffer(parts[4], ">u4"), np.frombuffer(offsets, "<i8"), n, np.frombuffer(lengths, np.uint8)) if n else np.zeros(0, np.uint32)
-    return np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<i8"), ids
+    return np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<i8"), ids, nulls
