@@ -3,28 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.workers import reach_workers
+from tessera.sources.workers import checkpoint_dir, reach_workers
 
 
 __all__ = ["discard", "filesystem", "fresh_path", "local_path", "materialise", "reach_workers", "read_file", "shared_dir", "write_file"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests on one machine), a new folder that becomes it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            found = current.get()
-        else:
-            found = f"file://{tempfile.mkdtemp(prefix='tessera-shared-')}"
-            spark.sparkContext.setCheckpointDir(found)
-    return found
+    """``spark.checkpoint.dir`` of the session; unset, it is a new folder on one machine and an error on a cluster."""
+    return checkpoint_dir(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
