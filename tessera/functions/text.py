@@ -73,15 +73,54 @@ def is_prerelease(version: Column) -> Column:
     return F.when(version.rlike(_SEMVER), F.regexp_extract(version, _SEMVER, 4) != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated, and stands in the plan, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ipv6_groups(address: Column) -> Column:
+    """The eight groups of an IPv6 address in lower case, four hexadecimal digits each; null for what is none.  The last two may be written as an IPv4 address."""
+    byte = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    quad = rf"^(.*:){byte}\.{byte}\.{byte}\.{byte}$"
+    none = F.array().cast("array<string>")
+
+    def spelled(text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, quad, i)
+        two = lambda i: F.lower(F.lpad(F.hex(part(i).cast("int") * 256 + part(i + 1).cast("int")), 4, "0"))
+        return F.when(text.rlike(quad), F.concat(part(1), two(2), F.lit(":"), two(4))).otherwise(F.lower(text))
+
+    def side(text: Column) -> Column:
+        return F.when(text == "", none).otherwise(F.split(text, ":", -1))
+
+    def filled(x: Column) -> Column:
+        lacking = 8 - F.size(x["left"]) - F.size(x["right"])
+        return F.when(x["n"] == 1, x["left"]).when((x["n"] == 2) & (lacking >= 1), F.concat(x["left"], F.array_repeat(F.lit("0"), F.greatest(lacking, F.lit(0))), x["right"]))
+
+    def checked(groups: Column) -> Column:
+        return F.when((F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.transform(groups, lambda g: F.lpad(g, 4, "0")))
+
+    sides = let(spelled(address), lambda t: F.split(t, "::", -1))
+    halves = let(sides, lambda s: F.struct(F.size(s).alias("n"), side(F.get(s, F.lit(0))).alias("left"), side(F.get(s, F.lit(1))).alias("right")))
+    return let(let(halves, filled), checked)
+
+
 def url_parts(url: Column) -> Column:
-    """scheme, host, authority, ipv4 (as a number) and has_credentials; null fields where the URL lacks them."""
-    pattern = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:@]*)(?::(\d+))?(?:[/?#].*)?$"
+    """scheme, host, authority, ipv4 (as a number), ipv6 (32 hexadecimal digits) and has_credentials; null fields where the URL lacks them.
+
+    An IPv6 host stands in brackets; one that stands for an IPv4 address has that as its ipv4 instead.
+    """
+    pattern = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[0-9a-fA-F:.]*\]|[^/?#:@\[\]]*)(?::(\d+))?(?:[/?#].*)?$"
+    byte = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
     part = lambda i: F.nullif(F.regexp_extract(url, pattern, i), F.lit(""))
+
+    def read(x: Column) -> Column:
+        host, digits = x["host"], x["digits"]
+        mapped = F.coalesce(F.startswith(digits, F.lit("0" * 20 + "ffff")), F.lit(False))
+        octets = F.aggregate(F.split(host, r"\."), F.lit(0).cast("long"), lambda a, o: a * 256 + o.cast("long"))
+        ipv4 = F.when(host.rlike(rf"^{byte}(?:\.{byte}){{3}}$"), octets).when(mapped, F.conv(F.substring(digits, 25, 8), 16, 10).cast("long"))
+        fields = (x["scheme"].alias("scheme"), host.alias("host"), F.concat_ws(":", host, x["port"]).alias("authority"), ipv4.alias("ipv4"), F.when(~mapped, digits).alias("ipv6"), x["user"].isNotNull().alias("has_credentials"))
+        return F.when(x["fits"] & (~F.coalesce(F.startswith(host, F.lit("[")), F.lit(False)) | digits.isNotNull()), F.struct(*fields))
+
     host = F.lower(part(3))
-    octets = F.split(host, r"\.")
-    byte = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    ipv4 = F.when(host.rlike(rf"^{byte}(?:\.{byte}){{3}}$"), F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long")))
-    return F.when(
-        url.rlike(pattern),
-        F.struct(F.lower(part(1)).alias("scheme"), host.alias("host"), F.concat_ws(":", host, part(4)).alias("authority"), ipv4.alias("ipv4"), (part(2).isNotNull()).alias("has_credentials")),
-    )
+    digits = F.when(F.startswith(host, F.lit("[")), F.array_join(ipv6_groups(F.substring(host, F.lit(2), F.length(host) - 2)), ""))
+    return let(F.struct(url.rlike(pattern).alias("fits"), F.lower(part(1)).alias("scheme"), part(2).alias("user"), host.alias("host"), part(4).alias("port"), digits.alias("digits")), read)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
+
 #: IPv4 ranges (as numbers, both ends included) that are not public.
 PRIVATE_IPV4 = (
     (0, 16777215),
@@ -22,19 +24,32 @@ PRIVATE_IPV4 = (
 )
 
 
-def refusal(parts: Column, hop: Column, most_hops: int, trusted: Column) -> Column:
-    """Why a request is refused, the first reason that holds; null if it is allowed.  ``parts`` is ``url_parts``."""
-    host, ip = parts["host"], parts["ipv4"]
-    private = (host == "localhost") | F.endswith(host, F.lit(".localhost"))
-    for low, high in PRIVATE_IPV4:
-        private = private | F.coalesce(ip.between(low, high), F.lit(False))
-    return (
-        F.when(hop > most_hops, "redirect_limit")
-        .when(parts.isNull(), "invalid_url")
-        .when((parts["scheme"] != "https") & ~((parts["scheme"] == "http") & trusted), "scheme")
-        .when(host.isNull(), "host_missing")
-        .when(~trusted & private, "private_address")
-    )
+#: Fixed value: IPv6 addresses (32 digits) that are not public.
+PRIVATE_IPV6 = "^(0000000000000000000000000000000[01]$|ff|f[cd]|fe[89ab])"
+
+
+def refusal(parts: Column, hop: Column, most_hops: int, trusted: Column, resolved: Column | None = None) -> Column:
+    """Why a request is refused, the first reason that holds; null if it is allowed.
+
+    ``parts`` is ``url_parts`` of the URL, ``resolved`` that of the address it was resolved to, if there is one.
+    """
+
+    def decide(x: Column) -> Column:
+        own, address = x["own"], x["address"]
+        host, ip = own["host"], address["ipv4"]
+        private = (host == "localhost") | F.endswith(host, F.lit(".localhost"))
+        for low, high in PRIVATE_IPV4:
+            private = private | F.coalesce(ip.between(low, high), F.lit(False))
+        private = private | F.coalesce(address["ipv6"].rlike(PRIVATE_IPV6), F.lit(False))
+        return (
+            F.when(hop > most_hops, "redirect_limit")
+            .when(own.isNull(), "invalid_url")
+            .when((own["scheme"] != "https") & ~((own["scheme"] == "http") & trusted), "scheme")
+            .when(host.isNull(), "host_missing")
+            .when(~trusted & private, "private_address")
+        )
+
+    return let(F.struct(parts.alias("own"), (parts if resolved is None else F.coalesce(resolved, parts)).alias("address")), decide)
 
 
 def reuse(status: Column, age_seconds: Column, negative_ttl: int, forced: Column) -> Column:
