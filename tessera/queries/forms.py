@@ -28,7 +28,7 @@ def nested_key_join(t):
 
 
 @query("WITH w AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Brand#' || (11 + s_suppkey % 5) END AS wanted FROM supplier) SELECT l_suppkey, p_brand, count(*) AS lines FROM lineitem JOIN part ON l_partkey = p_partkey JOIN w ON l_suppkey = s_suppkey AND (wanted IS NULL OR wanted = p_brand) GROUP BY ALL")
-def optional_equality_join(t):
+def equality_if_given_join(t):
     wanted = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Brand#"), (11 + F.col("s_suppkey") % 5).cast("string"))).alias("wanted"))
     lines = t.lineitem.select("l_partkey", "l_suppkey").join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     counted = lines.groupBy("l_suppkey", "p_brand").agg(F.count("*").alias("lines"))  # before the join: a line meets one supplier
