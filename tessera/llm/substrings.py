@@ -1,9 +1,10 @@
 """Removal of passages that repeat: every word in a window of ``width`` words that starts anywhere else too.
 
 Each window has a minimiser, the least hash among its ``gram``-word runs (leftmost of equals), so
-equal windows share it.  Successive windows with one minimiser make a segment.  Segments
-whose minimiser occurs once can't repeat and go no further.  The others are dealt to
-shards by minimiser, equal ones as one with a weight, so a shard holds every occurrence
+equal windows share it.  Successive windows with one minimiser make a segment.  Equal segments are
+counted as one with a weight before anything else is done with them.  Segments whose
+minimiser occurs once can't repeat and go no further.  The others are dealt to
+shards by minimiser, so a shard holds every occurrence
 of its windows.  Each shard builds an FM-index of its segments and streams them through
 it: matching statistics by backward search over a wavelet matrix, windows of ``width`` or more
 with a weighted count of two or more being reported.  Reports go back by segment to the
@@ -11,8 +12,9 @@ texts that hold it.
 
 Minimisers with more than ``HOT`` different segments (the edges of a passage that very many texts
 share) are dealt window by window, keyed also by both ends of the window; keys that occur
-once are dropped.  So shards stay bounded by number, whatever one passage holds.  Words are
-compared as 64-bit hashes.
+once are dropped.  So shards stay bounded by number, whatever one passage holds.  Tables are written before
+they are joined on a key that may be hot, since adaptive execution splits only joins of plain exchanges.  Words are
+compared as 64-bit hashes, texts and segments told apart by 128 bits.
 
 Defined results: null and empty texts have no words; texts shorter than a window keep all;
 windows may overlap their own repeats; equal texts and rows of one or no doc_id are
@@ -64,8 +66,12 @@ def segments(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.
     return window[first], np.diff(np.append(first, len(m))), grams[m[first]].view(np.int64), owner[first]
 
 
+#: What tells a text, and a segment, from others.
+TEXT, NAME = ["tid", "tid2"], ["minimiser", "n1", "n2"]
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """A row for each different text: ``tid``, ``copies`` and its segments (start, windows, minimiser, name)."""
+    """A row for each different text: ``TEXT``, ``copies`` and its segments (start, windows, ``NAME``)."""
 
     @memory.task("substrings")
     def run(batches):
@@ -75,29 +81,34 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 starts, ends, at = wh.words(data, offs)
                 h = wh.word_hashes(data, starts, ends)
                 window, count, minimiser, owner = segments(h, at, width)
-                name = wh.run_hashes(h, window, window + count + width - 1).view(np.int64) if len(window) else np.zeros(0, np.int64)
+                names = [wh.run_hashes(x, window, window + count + width - 1).view(np.int64) if len(window) else np.zeros(0, np.int64) for x in (h, wh.mix(h + np.uint64(1)))]
                 cut = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(cut, pa.array(v, t)) for v, t in ((window - at[:-1][owner], pa.int32()), (count, pa.int32()), (minimiser, pa.int64()), (name, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column("tid"), *lists], ["tid", "start", "windows", "minimiser", "name"])
+                lists = [pa.ListArray.from_arrays(cut, pa.array(v, t)) for v, t in ((window - at[:-1][owner], pa.int32()), (count, pa.int32()), (minimiser, pa.int64()), *((n, pa.int64()) for n in names))]
+                yield pa.RecordBatch.from_arrays([part.column("tid"), part.column("tid2"), *lists], [*TEXT, "start", "windows", *NAME])
+
+    rows = docs.select(*TEXT, "text").mapInArrow(run, "tid long, tid2 long, start array<int>, windows array<int>, minimiser array<long>, n1 array<long>, n2 array<long>").where(F.size("start") > 0)
+    return rows.groupBy(*TEXT).agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("start", "windows", *NAME)))
+
 
-    rows = docs.select("tid", "text").mapInArrow(run, "tid long, start array<int>, windows array<int>, minimiser array<long>, name array<long>").where(F.size("start") > 0)
-    return rows.groupBy("tid").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("start", "windows", "minimiser", "name")))
+def occurrences(texts: DataFrame) -> DataFrame:
+    return texts.select(*TEXT, "copies", F.explode(F.arrays_zip("start", "windows", *NAME)).alias("s")).select(*TEXT, "copies", "s.*")
 
 
-def repeated_segments(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (tid, start, name) of segments whose minimiser occurs twice or more, and those segments once each."""
-    each = texts.select("tid", "copies", F.explode(F.arrays_zip("start", "windows", "minimiser", "name")).alias("s")).select("tid", "copies", "s.*")
-    often = each.groupBy("minimiser").agg(F.sum("copies").alias("held")).where("held > 1").select("minimiser")
-    found = store.materialise(each.join(often, "minimiser"), "occurrences")
-    one = found.groupBy("minimiser", "name").agg(F.sum("copies").alias("weight"), F.min_by(F.struct("tid", "start", "windows"), "tid").alias("r"))
-    return found, store.materialise(one.select("minimiser", "name", "weight", "r.*"), "segments")
+def repeated_segments(texts: DataFrame) -> DataFrame:
+    """Segments whose minimiser occurs twice or more, once each, with their weight and one place that holds them."""
+    each = occurrences(texts)
+    one = each.groupBy(*NAME).agg(F.sum("copies").alias("weight"), F.min(F.struct(*TEXT, "start", "windows")).alias("r"))
+    one = store.materialise(one.select(*NAME, "weight", "r.*"), "segments")
+    often = one.groupBy("minimiser").agg(F.sum("weight").alias("held"), F.count("*").alias("forms")).where("held > 1")
+    often = store.materialise(often.select("minimiser", (F.col("forms") > HOT).alias("hot")), "minimisers")
+    out = store.materialise(one.join(often, "minimiser"), "segments")
+    store.discard(one, often)
+    return out
 
 
 def contents(docs: DataFrame, once: DataFrame, width: int) -> DataFrame:
     """Each segment with the hashes of its words, fetched from one text that holds it; hot minimisers window by window."""
-    held = once.groupBy("minimiser").agg(F.count("*").alias("held")).where(F.col("held") > HOT)
-    marked = once.join(held, "minimiser", "left").withColumn("hot", F.col("held").isNotNull())
-    asked = marked.groupBy("tid").agg(F.collect_list(F.struct("start", "windows", "minimiser", "name", "weight", "hot")).alias("asked"))
+    asked = once.groupBy(*TEXT).agg(F.collect_list(F.struct("start", "windows", *NAME, "weight", "hot")).alias("asked"))
 
     @memory.task("substrings")
     def run(batches):
@@ -107,7 +118,7 @@ def contents(docs: DataFrame, once: DataFrame, width: int) -> DataFrame:
                 starts, ends, at = wh.words(data, offs)
                 h = wh.word_hashes(data, starts, ends)
                 flat = part.column("asked").flatten()
-                start, windows, minimiser, name, weight, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+                start, windows, minimiser, n1, n2, weight, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(7))
                 owner = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(part.column("asked")).to_numpy())
                 begin = at[:-1][owner] + start
                 warm = ~hot
@@ -124,18 +135,17 @@ def contents(docs: DataFrame, once: DataFrame, width: int) -> DataFrame:
                 raw = h[lo[row] + place]
                 cut = (np.concatenate([[0], np.cumsum(size)]) * 8).astype(np.int32)
                 blob = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(np.concatenate([name[warm], name[which]])), pa.array(np.concatenate([np.zeros(int(warm.sum()), np.int32), j.astype(np.int32)])), pa.array(np.concatenate([weight[warm], weight[which]])), pa.array(np.concatenate([np.zeros(int(warm.sum()), bool), np.ones(len(which), bool)])), blob],
-                    ["key", "name", "first", "weight", "single", "words"],
-                )
+                both = np.concatenate([np.flatnonzero(warm), which])
+                number = np.concatenate([np.zeros(int(warm.sum()), np.int32), j.astype(np.int32)])
+                single = np.arange(len(both)) >= warm.sum()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, minimiser[both], n1[both], n2[both], number, weight[both], single)] + [blob], ["key", *NAME, "first", "weight", "single", "words"])
 
     # equal texts may lie in several rows: any one of them will do, and aggregation settles on one a task
-    got = docs.groupBy("tid").agg(F.first("text").alias("text")).join(asked, "tid").select("text", "asked").mapInArrow(run, "key long, name long, first int, weight long, single boolean, words binary")
-    return got
+    return docs.groupBy(*TEXT).agg(F.first("text").alias("text")).join(asked, TEXT).select("text", "asked").mapInArrow(run, "key long, minimiser long, n1 long, n2 long, first int, weight long, single boolean, words binary")
 
 
 def report(given: DataFrame, width: int, parts: int) -> DataFrame:
-    """Per segment name a bit mask of its windows that repeat, found shard by shard."""
+    """Per segment the numbers of its windows that repeat, found shard by shard."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -155,33 +165,37 @@ def report(given: DataFrame, width: int, parts: int) -> DataFrame:
         owner, j = wh.ragged(np.where(weight > 1, 0, windows))
         length = matching_statistics(index, text, begin[owner] + j + width - 1, width)
         hit = length >= width
-        mask = np.where(weight > 1, (np.int64(1) << windows.astype(np.int64)) - 1, 0)
-        np.bitwise_or.at(mask, owner[hit], np.int64(1) << j[hit])
-        mask = mask << table.column("first").to_numpy().astype(np.int64)
-        some = mask != 0
-        return pa.table({"name": pa.array(table.column("name").to_numpy()[some]), "mask": pa.array(mask[some])})
+        every, number = wh.ragged(np.where(weight > 1, windows, 0))  # a segment that occurs twice repeats as a whole
+        owner, j = np.concatenate([owner[hit], every]), np.concatenate([j[hit], number])
+        j = j + table.column("first").to_numpy()[owner]
+        order = np.argsort(owner, kind="stable")
+        some, begin = np.unique(owner[order], return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)), pa.int32()), pa.array(j[order], pa.int32()))
+        return pa.table({**{c: table.column(c).combine_chunks().take(pa.array(some)) for c in NAME}, "repeated": lists})
 
     dealt = given.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(parts)))
-    return dealt.groupBy("shard").applyInArrow(run, "name long, mask long").groupBy("name").agg(F.bit_or("mask").alias("mask"))
+    found = dealt.groupBy("shard").applyInArrow(run, "minimiser long, n1 long, n2 long, repeated array<int>")
+    # at most a row for each window of a segment
+    return found.groupBy(*NAME).agg(F.flatten(F.collect_list("repeated")).alias("repeated"))
 
 
 def drop_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, the kept words' digest and ``kept``, the kept words joined by a space."""
-    if width > 90 or width < GRAM:
-        raise ValueError("windows of 8 to 90 words are supported")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
+    if width < GRAM:
+        raise ValueError(f"windows have at least {GRAM} words")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"tid": F.xxhash64("text"), "tid2": F.xxhash64(F.lit(1), "text")})
     texts = store.materialise(describe(rows, width), "texts")
-    found, once = repeated_segments(texts)
-    store.discard(texts)
+    once = repeated_segments(texts)
     given0 = given = store.materialise(contents(rows, once, width), "contents")
-    store.discard()
+    store.discard(once)
     lone = given.where("single").groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1").select("key")
     given = given.where("NOT single").unionByName(given.where("single").join(lone, "key").select(given.columns))
     total = given.agg(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
-    masks = report(given, width, max(1, -(-int(total) // (8 * SHARD_WORDS))))
-    hits = found.join(masks, "name").groupBy("tid").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
+    marks = store.materialise(report(given, width, max(1, -(-int(total) // (8 * SHARD_WORDS)))), "repeated")
+    store.discard(given0)
+    hits = occurrences(texts).select(*TEXT, "start", *NAME).join(marks, NAME).groupBy(*TEXT).agg(F.collect_list(F.struct("start", "repeated")).alias("hits"))
     hits = store.materialise(hits, "hits")
-    store.discard(given0, found)
+    store.discard(texts, marks)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     @memory.task("substrings")
@@ -195,15 +209,15 @@ def drop_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
                     n_words.append(len(words))
                     if hits[i].is_valid:
                         flat = hits[i].values
-                        start, mask = flat.field("start").to_numpy(), flat.field("mask").to_numpy()
+                        start, lists = flat.field("start").to_numpy(), flat.field("repeated")
+                        begin = np.repeat(start, pa.compute.list_value_length(lists).to_numpy()) + lists.flatten().to_numpy()
                         cover = np.zeros(len(words) + 1, np.int64)
-                        k, bit = np.nonzero(mask[:, None] >> np.arange(width - GRAM + 1) & 1)
-                        np.add.at(cover, start[k] + bit, 1)
-                        np.add.at(cover, start[k] + bit + width, -1)
+                        np.add.at(cover, begin, 1)
+                        np.add.at(cover, begin + width, -1)
                         keep = np.cumsum(cover)[:-1] == 0
                         words = list(compress(words, keep.tolist()))
                     n_removed.append(n_words[-1] - len(words))
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode() for k in kept])], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return rows.join(hits, "tid", "left").select("doc_id", "text", "hits").mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return rows.join(hits, TEXT, "left").select("doc_id", "text", "hits").mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept string")
