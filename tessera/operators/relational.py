@@ -116,6 +116,14 @@ def holds_all(required: DataFrame, durable: DataFrame) -> DataFrame:
     return want.join(have, "p", "left").agg(F.coalesce(F.bool_and(F.coalesce("h", F.lit(0)) >= F.col("w")), F.lit(True)).alias("contained"))
 
 
+def records(rows: DataFrame, bound: int) -> list:
+    """The rows on the driver, at most ``bound`` of them: one more is an error, and no more than that one is fetched."""
+    found = rows.limit(bound + 1).collect()
+    if len(found) > bound:
+        raise InvariantError(f"more than {bound} rows")
+    return found
+
+
 def require_empty(violations: DataFrame, rule: str, stage: str) -> None:
     """Raise with at most eight witnesses if the relation has a row."""
     seen = violations.limit(8).collect()
