@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import memory, store, wordhash as wh
@@ -194,6 +194,7 @@ def first_pairs(nodes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of a node and the smallest node of a minimum-hash group, where two or more of four agree."""
     keys = nodes.select("node", "n", F.posexplode(F.array("m0", "m1", "m2", "m3")).alias("k", "m"))
     heads = keys.groupBy("k", "m").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("held")).where("held > 1").select("k", "m", F.col("head.node").alias("b"), F.col("head.n").alias("nb"))
+    heads = store.materialise(heads, "heads")  # written first, so that adaptive execution splits a large group's rows in the join
     pairs = keys.join(heads, ["k", "m"]).where((F.col("node") != F.col("b")) & _close(rule, "n", "nb"))
     return pairs.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("agree")).where("agree > 1").select("a", "b")
 
@@ -255,9 +256,11 @@ def _sharing(grams: np.ndarray, size: np.ndarray, need: np.ndarray) -> tuple[np.
 def rest_pairs(nodes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of nodes of different components that share enough of their prefixes (``nodes`` has component)."""
     entries = nodes.select("node", "component", "n", F.explode("prefix").alias("gram"))
-    by = Window.partitionBy("gram")
-    mixed = entries.withColumns({"low": F.min("component").over(by), "high": F.max("component").over(by), "held": F.count("*").over(by)}).where("low <> high").drop("low", "high")
-    mixed = store.materialise(mixed, "mixed")
+    # counted with map-side combination, written, then joined: adaptive execution splits a hot n-gram's rows in a join of plain exchanges
+    grams = entries.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low <> high").select("gram", "held")
+    grams = store.materialise(grams, "shared-grams")
+    mixed = store.materialise(entries.join(grams, "gram").select("node", "component", "n", "gram", "held"), "mixed")
+    store.discard(grams)
     low = F.ceil(F.col("n") * rule.num / rule.den)
 
     def least(n):
