@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 Both halves of a vector are quantised separately (k-means over a bounded sample), and
-rows are listed by their pair of centroids.  A query ranks the pairs by the sum of its
-halves' inner products with the two centroids: a heap walks the pairs from the best
-sum down (multi-sequence traversal), taking entries until ``SHARE`` of the block's rows are
-gathered, and the entries are reranked by the exact inner product.  When a block holds
-fewer than ``WHOLE`` rows all of them are gathered.
+rows are listed by their pair of centroids, their cell.  One index holds the whole table: cell
+sizes are counted over all rows, and cells in order make up the blocks that rows are dealt to.
+A query ranks the cells by the sum of its halves' inner products with the two centroids: a heap
+walks the pairs from the best sum down (multi-sequence traversal) until the cells hold
+``SHARE`` of all rows, and never fewer than ``k`` besides itself.  It goes to the blocks of those
+cells alone, and their entries are reranked by the exact inner product.
 
 Quality: recall of the 20 nearest against brute force is in the README; ``SHARE`` sets it.
 Defined results: as ``vectors.clean`` says; zero vectors take no part; ties go to the
@@ -17,17 +18,17 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import vectors
+from tessera.llm import memory, store, vectors, wordhash
 
 #: Centroids of a half, and the most rows that they are fitted on.
-CENTROIDS = 32
+CENTROIDS = 128
 SAMPLE = 8_000
-#: Part of a block's rows that a query reranks.
-SHARE = 0.65
-WHOLE = 1_000
+#: Part of all rows that a query reranks.
+SHARE = 0.45
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -47,21 +48,26 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
 
 
 def traverse(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, want: int) -> list[tuple[int, int]]:
-    """Centroid pairs in order of falling ``left[i] + right[j]``, until they list ``want`` entries."""
+    """Centroid pairs with entries in order of falling ``left[i] + right[j]``, until they list ``want`` of them.
+
+    The heap holds the next pair of every row opened so far; a row is opened when the one above is first left.
+    """
     a, b = np.argsort(-left, kind="stable"), np.argsort(-right, kind="stable")
     u, v = left[a].tolist(), right[b].tolist()
     rows = sizes[a][:, b].tolist()
-    heap, opened, out, got = [(-(u[0] + v[0]), 0, 0)], {(0, 0)}, [], 0
+    heap, out, got = [(-(u[0] + v[0]), 0, 0)], [], 0
     while heap and got < want:
-        _, i, j = heapq.heappop(heap)
+        _, i, j = heap[0]
         if rows[i][j]:
-            out.append((int(a[i]), int(b[j])))
+            out.append((i, j))
             got += rows[i][j]
-        for p, q in ((i + 1, j), (i, j + 1)):
-            if p < len(u) and q < len(v) and (p, q) not in opened:
-                opened.add((p, q))
-                heapq.heappush(heap, (-(u[p] + v[q]), p, q))
-    return out
+        if j + 1 < len(v):
+            heapq.heapreplace(heap, (-(u[i] + v[j + 1]), i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if j == 0 and i + 1 < len(u):
+            heapq.heappush(heap, (-(u[i + 1] + v[0]), i + 1, 0))
+    return [(int(a[i]), int(b[j])) for i, j in out]
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,31 +78,40 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def local_search(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int, first: np.ndarray, second: np.ndarray, share: float = SHARE, at_once: int = 256):
-    """Search a block of rows through its own lists."""
-    half, width = first.shape[1], rows.shape[1]
-    if width > first.shape[1] + second.shape[1]:  # components that the sample lacked are not indexed, only reranked
-        width = first.shape[1] + second.shape[1]
-    x1, x2, q1, q2 = rows[:, :half], rows[:, half:width], queries[:, :half], queries[:, half:width]
-    first, second = first[:, : x1.shape[1]], second[:, : x2.shape[1]]
-    near = lambda x, c: ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
-    cell = near(x1, first) * len(second) + near(x2, second)
+class Quantiser:
+    """Centroids of both halves; components beyond those of the sample are not indexed, only reranked."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        self.first, self.second = first, second
+        self.cells = len(first) * len(second)
+
+    def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        half, width = self.first.shape[1], self.first.shape[1] + self.second.shape[1]
+        x = vectors.widen(x, width)
+        return x[:, :half], x[:, half:width]
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        near = lambda v, c: ((c**2).sum(1) - 2 * v @ c.T).argmin(1)
+        a, b = self.halves(x)
+        return near(a, self.first) * len(self.second) + near(b, self.second)
+
+
+def rerank(query_ids: np.ndarray, queries: np.ndarray, asked: list[np.ndarray], row_ids: np.ndarray, rows: np.ndarray, cell: np.ndarray, k: int, at_once: int = 128):
+    """Each query's best ``k`` among the rows of the cells that it asks for."""
     order = np.argsort(cell, kind="stable")
     rows, row_ids, cell = rows[order], row_ids[order], cell[order]
-    cut = np.searchsorted(cell, np.arange(len(first) * len(second) + 1))
-    sizes = np.diff(cut).reshape(len(first), len(second))
-    want = len(rows) if len(rows) < WHOLE else int(np.ceil(len(rows) * share))
-    places, got, scores = [], [], []
-    for begin in range(0, len(queries), at_once):
-        some = np.arange(begin, min(begin + at_once, len(queries)))
-        left, right = q1[some] @ first.T, q2[some] @ second.T
-        asked: dict[int, list[int]] = {}
-        for r in range(len(some)):
-            for i, j in traverse(left[r], right[r], sizes, want):
-                asked.setdefault(i * len(second) + j, []).append(r)
-        table = np.full((len(some), len(rows)), -np.inf)
-        for c, who in asked.items():
-            table[who, cut[c] : cut[c + 1]] = queries[some[who]] @ rows[cut[c] : cut[c + 1]].T
+    held, begin = np.unique(cell, return_index=True)
+    cut = np.append(begin, len(cell))
+    places, got, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for at in range(0, len(queries), at_once):
+        some = np.arange(at, min(at + at_once, len(queries)))
+        table = queries[some] @ rows.T
+        wanted = np.zeros((len(some), len(held)), bool)
+        for r, i in enumerate(some):
+            c = np.searchsorted(held, asked[i])
+            c[c == len(held)] = 0
+            wanted[r, c[held[c] == asked[i]]] = True
+        table[~np.repeat(wanted, np.diff(cut), axis=1)] = -np.inf
         table[query_ids[some][:, None] == row_ids[None]] = -np.inf
         n = min(k, len(rows))
         floor = np.partition(table, len(rows) - n, 1)[:, len(rows) - n]
@@ -112,17 +127,76 @@ def local_search(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray
     return np.concatenate(places), np.concatenate(got), np.concatenate(scores)
 
 
-def fit(rows: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Quantiser:
     """Centroids of both halves, from at most ``sample`` rows picked by a hash of their id."""
-    picked = rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(sample).select("vector").toArrow().column("vector").to_pylist()
-    width = max((len(v) for v in picked), default=1)
-    x = np.array([v + [0.0] * (width - len(v)) for v in picked]) if picked else np.zeros((1, 1))
-    half = (width + 1) // 2
-    return kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids) if width > half else np.zeros((1, 0))
+    picked = rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(sample).select("vector").toArrow().column("vector")
+    x = vectors.matrix(picked) if len(picked) else np.zeros((1, 1))
+    half = (x.shape[1] + 1) // 2
+    return Quantiser(kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids) if x.shape[1] > half else np.zeros((1, 0)))
 
 
 def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, share: float = SHARE) -> DataFrame:
     """Top ``k`` by inner product for queries whose vec_id is divisible by ``every``."""
+    spark = embeddings.sparkSession
     rows = vectors.clean(embeddings, nonzero=True)
-    shared = rows.sparkSession.sparkContext.broadcast(fit(rows))  # two small matrices of fixed size
-    return vectors.search(rows, F.col("vec_id") % every == 0, k, "double", lambda qi, q, xi, x: local_search(qi, q, xi, x, k, *shared.value, share))
+    quantiser = fit(rows)
+    shared = spark.sparkContext.broadcast(quantiser)  # two small matrices of fixed size
+
+    @memory.task("multiindex")
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                cell = shared.value.cell(vectors.matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], ["vec_id", "vector", "cell"])
+
+    placed = store.materialise(rows.select("vec_id", "vector").mapInArrow(place, "vec_id long, vector array<double>, cell int"), "multi-index")
+    is_query = F.col("vec_id") % every == 0
+    counted = placed.groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("queries")).collect()  # at most CENTROIDS ** 2 rows
+    sizes = np.zeros(quantiser.cells, np.int64)
+    for r in counted:
+        sizes[r["cell"]] = r["n"]
+    n = int(sizes.sum())
+    first, parts = vectors.blocks_of(sizes, vectors.block_limit(n))
+    listed = spark.sparkContext.broadcast((sizes, first, parts))  # three numbers a cell
+    want = max(int(np.ceil(n * share)), min(k + 1, n))
+    query_blocks = max(1, -(-sum(r["queries"] for r in counted) // vectors.QUERY_BLOCK))
+
+    @memory.task("multiindex")
+    def deal(batches):
+        _, first, parts = listed.value
+        for batch in batches:
+            cell = batch.column(2).to_numpy()
+            block = first[cell] + batch.column(3).to_numpy() % parts[cell]
+            yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns[:3]], ["rb", "vec_id", "vector", "cell"])
+
+    @memory.task("multiindex")
+    def route(batches):
+        sizes, first, parts = listed.value
+        index = shared.value
+        table = sizes.reshape(len(index.first), len(index.second))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                piece = batch.slice(at, 64)
+                a, b = index.halves(vectors.matrix(piece.column(1)))
+                left, right = a @ index.first.T, b @ index.second.T
+                who, block, cells = [], [], []
+                for r in range(piece.num_rows):
+                    c = np.array([i * len(index.second) + j for i, j in traverse(left[r], right[r], table, want)])
+                    owner, step = wordhash.ragged(parts[c])
+                    target = first[c][owner] + step
+                    order = np.argsort(target, kind="stable")
+                    stop, at_block = np.unique(target[order], return_index=True)
+                    who += [r] * len(stop)
+                    block += stop.tolist()
+                    cells += np.split(c[owner][order].astype(np.int32), at_block[1:])
+                taken = piece.take(pa.array(who, pa.int64()))
+                yield pa.RecordBatch.from_arrays([taken.column(2), pa.array(block, pa.int64()), taken.column(0), taken.column(1), pa.array(cells, pa.list_(pa.int32()))], ["qb", "rb", "vec_id", "vector", "cells"])
+
+    def local(visitors, queries, members, x):
+        asked = [c.values.to_numpy() for c in visitors.column("cells").combine_chunks()]
+        return rerank(visitors.column("vec_id").to_numpy(), queries, asked, members.column("vec_id").to_numpy(), x, members.column("cell").to_numpy(), k)
+
+    dealt = placed.select("vec_id", "vector", "cell", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30)).alias("h")).mapInArrow(deal, "rb long, vec_id long, vector array<double>, cell int")
+    asking = placed.where(is_query).select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"))
+    visits = store.materialise(asking.mapInArrow(route, "qb int, rb long, vec_id long, vector array<double>, cells array<int>"), "visits")
+    return vectors.ranked(vectors.visit(dealt, visits, k, "double", local), k)
