@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.oracles import ORACLES  # noqa: F401
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     from tessera.llm.store import reach_workers
@@ -69,9 +71,10 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import mixing
 
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    _, plans = mixing.plan(docs, entropy_share=0.97, max_repetition=4.0)
-    return mixing.assign(docs, plans).select("doc_id", "source", "n_tokens", "weight", "copies", "block", "place")
+    sizes = mixing.measure(_read(spark, sf_dir, "documents"))
+    mix, plans = mixing.plan(sizes, entropy_share=0.97, max_repetition=4.0)
+    found = mixing.assign(sizes, plans).withColumns({"alpha": F.lit(mix.alpha), "targets_met": F.lit(mix.entropy_met and mix.repetition_met)})
+    return found.select("doc_id", "source", "n_tokens", "weight", "copies", "block", "places", "alpha", "targets_met")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +90,3 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_substrings": op10_substrings, "op1_ngram_join": op1_ngram_join, "op4_mixing": op4_mixing, "op9_cover_tree": op9_cover_tree, "op2_multi_index": op2_multi_index, "op3_pii": op3_pii, "op8_byte_bpe": op8_byte_bpe, "op6_token_files": op6_token_files, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity}
-#: None of these can be put in SQL except where given here.
-ORACLES: dict[str, str] = {}
