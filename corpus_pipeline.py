@@ -47,7 +47,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _, plans = mixing.plan(docs, entropy_share=0.99, max_repetition=MAX_REPETITION, cover=True)
+    _, plans = mixing.plan(mixing.measure(docs), entropy_share=0.99, max_repetition=MAX_REPETITION, cover=True)
     return mixing.realise(docs, plans)
 
 
@@ -67,7 +67,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = store.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, store.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not read:
+            store.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
