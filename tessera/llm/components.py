@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import materialise
+from tessera.llm.store import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _star(both, True)
-        now = materialise(_star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False), "edges")
+        before, now = now, materialise(_star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False), "edges")
+        discard(before)
         after = _state(now)
         if after == state:
             break
