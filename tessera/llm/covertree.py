@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm import memory, store, vectors, wordhash
 
 #: Points of a row leaf and of a query leaf.
-LEAF, QUERY_LEAF = 512, 64
+LEAF, QUERY_LEAF = 512, 256
 PLACE_BITS = 17
 #: Rows of the top tree's sample, which also bounds the number of areas.
 SAMPLE = 8192
@@ -116,7 +116,7 @@ class Tally:
 def dual_search(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray | None = None, tally: Tally | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each query's ``k`` highest-scoring rows of other ids: (place of the query, row id, score).
 
-    With ``least``, a score a query, finds below it are of no use and may be left out.
+    With ``least``, a score a query, finds below it are of no use and are left out.
     """
     span = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * queries.shape[1]
     if span >= 2**63:
@@ -131,6 +131,7 @@ def dual_search(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray,
     best = np.full((len(queries), k), NONE, np.int64)
     where = np.full((len(queries), k), len(rows), np.int64)  # used where keys are scores alone
     floor = np.full(len(queries), -np.inf) if least is None else least.astype(float)
+    bar = np.where(np.isfinite(floor), np.where(np.isfinite(floor), floor, 0).astype(np.int64) << (PLACE_BITS if packed else 0), NONE)  # the least key of use
     whole_q, whole_x = (None, None) if packed else (queries.astype(np.int64), rows.astype(np.int64))
     length = np.linalg.norm(queries, axis=1)
     q_root, x_root = build(queries, QUERY_LEAF), build(rows)
@@ -157,7 +158,7 @@ def dual_search(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray,
         if packed:
             key = (np.rint(queries[at] @ rows[x.points].T).astype(np.int64) << PLACE_BITS) | (last - x.points)
             key[itself] = NONE
-            live = np.flatnonzero((key > best[at, :1]).any(1))
+            live = np.flatnonzero((key >= np.maximum(best[at, 0] + 1, bar[at])[:, None]).any(1))
             if len(live):
                 both = np.concatenate([best[at[live]], key[live]], 1)
                 both.partition(both.shape[1] - k, 1)
@@ -193,7 +194,7 @@ def dual_search(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray,
 
     start(q_root)
     visit(q_root, x_root, np.inf)
-    place, rank = np.nonzero(best != NONE)
+    place, rank = np.nonzero((best != NONE) & (best >= bar[:, None]))
     found = best[place, rank]
     if packed:
         return place, row_ids[last - (found & last)], found >> PLACE_BITS
