@@ -13,8 +13,11 @@
    the holders' prefixes go in a trie.  Each holder descends it with its overlap so
    far; a branch is left when the overlap plus the shorter of both remainders can't
    reach ``l``, or when a common n-gram comes before the block's own (another block has
-   that pair); at its end the pair's own bound is put in ``l``'s place.  Pairs of one component are not looked for.  N-grams of ``SMALL`` or fewer
-   holders need no trie: their few pairs are counted, which is the same overlap.
+   that pair); at its end the pair's own bound is put in ``l``'s place.  Pairs of one component are not looked for:
+   branches that hold nothing else are left.  N-grams of ``SMALL`` or fewer
+   holders need no trie: their few pairs are counted.  A pair that shares an eighth of ``l`` of these is checked
+   from there; any other shares the rest, ``y``, of its ``m`` n-grams of many holders, so its first common one, rarest first,
+   is among the first ``m - y + 1``.  Only these get blocks: what long texts share by chance with ever more others does not.
 5. Candidates of 3 and 4 are checked on whole sets, and components follow from the links.
 
 Blocks of more than ``BLOCK`` holders are split into pairs of parts, so no group grows with
@@ -44,6 +47,8 @@ FREQUENT, COMMON = 1 << 19, 3
 BLOCK = 2048
 #: N-grams with at most so many holders are unfolded to pairs at once; others get a trie.
 SMALL = 4
+#: N-grams are ordered by the power of two of their holders' number; so much is added to that of many holders.
+_MANY = 32
 #: A place in the global order is a hash's upper 62 bits; frequent n-grams have the highest places.
 _TOP = (1 << 62) - FREQUENT - 1
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
@@ -203,14 +208,16 @@ def trie_pairs(token: int, holders: list[tuple[int, int, tuple[int, int, int], i
     """Pairs of ``holders`` (node, component, (n, prefix length, its last place), part, ordered places) whose first common n-gram with a block is ``token`` and that share enough.
 
     An odd place has a block of its own.  Trie nodes are ``[children, longest remainder
-    below, holders that end here]``.
+    below, holders that end here, the one component of all holders below or None]``.
     """
-    root: list = [{}, 0, []]
+    root: list = [{}, 0, [], holders[0][1] if holders else None]
     for h in holders:
         at = root
         for i, gram in enumerate(h[4]):
             at[1] = max(at[1], len(h[4]) - i)
-            at = at[0].setdefault(gram, [{}, 0, []])
+            at[3] = at[3] if at[3] == h[1] else None
+            at = at[0].setdefault(gram, [{}, 0, [], h[1]])
+        at[3] = at[3] if at[3] == h[1] else None
         at[2].append(h)
     out = []
     for node, comp, size, part, prefix in holders:
@@ -225,6 +232,8 @@ def trie_pairs(token: int, holders: list[tuple[int, int, tuple[int, int, int], i
                 if node < other and comp != c2 and (not cross or part != p2) and size2[0] * rule.den >= n * rule.num and n * rule.den >= size2[0] * rule.num and common >= rule.shared(size, size2):
                     out.append((node, other))
             for gram, child in at[0].items():
+                if child[3] == comp:
+                    continue
                 i = place.get(gram)
                 if i is not None:
                     if gram & 1 and gram < token:
@@ -253,6 +262,16 @@ def _sharing(grams: np.ndarray, size: np.ndarray, need: np.ndarray) -> tuple[np.
             return None
 
 
+def _rarest_first(grams: np.ndarray, rare: np.ndarray, token: int) -> tuple[np.ndarray, int]:
+    """Places of a block's n-grams in the order of their holders' number (to a power of two), odd where they have many, and the token's."""
+    known, first, inverse = np.unique(grams, return_index=True, return_inverse=True)
+    level = rare[first].astype(np.int64)
+    rank = np.empty(len(known), np.int64)
+    rank[np.lexsort((known, level))] = np.arange(len(known))
+    odd = 2 * rank + (level >= _MANY)
+    return odd[inverse], int(odd[np.searchsorted(known, token)])
+
+
 def rest_pairs(nodes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of nodes of different components that share enough of their prefixes (``nodes`` has component)."""
     entries = nodes.select("node", "component", "n", F.explode("prefix").alias("gram"))
@@ -266,35 +285,50 @@ def rest_pairs(nodes: DataFrame, rule: Rule) -> DataFrame:
     def least(n):
         return (1 + F.floor(2 * (n - F.ceil(n * rule.num / rule.den)) / 5)).cast("long")
 
-    # few holders: their pairs, counted; a pair that shares an n-gram of many holders besides is found there
+    def counted(l):
+        """Common n-grams of few holders from which a pair is taken from there, of ``l`` in all."""
+        return F.ceil(l / 8)
+
+    power = (F.length(F.bin("held")) + F.when(F.col("held") > SMALL, _MANY).otherwise(0)).cast("byte")
+    lists = F.array_sort(F.collect_list(F.struct(power.alias("rare"), "gram")))
+    short = mixed.groupBy("node", "component", "n").agg(lists.alias("x"), F.count_if(F.col("held") > SMALL).alias("many"))
+
+    # few holders: their pairs, counted
     few = mixed.where(F.col("held") <= SMALL).groupBy("gram").agg(F.collect_list(F.struct("node", "component", "n")).alias("h"))
     each = few.select(F.explode(F.flatten(F.transform("h", lambda x: F.transform("h", lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p")).where("p.x.node < p.y.node AND p.x.component <> p.y.component")
     pairs = each.select(F.col("p.x.node").alias("a"), F.col("p.y.node").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb")).where(_close(rule, "na", "nb"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common")).where(F.col("common") >= least(F.least("na", "nb")))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common")).where(F.col("common") >= counted(least(F.least("na", "nb"))))
     known = nodes.select("node", F.size("prefix").alias("length"), F.element_at("prefix", -1).alias("last"))
     pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("length").alias("la"), F.col("last").alias("ea")), "a").join(known.select(F.col("node").alias("b"), F.col("length").alias("lb"), F.col("last").alias("eb")), "b")
+    besides = mixed.where(F.col("held") > SMALL).groupBy("node").agg(F.count("*").alias("many"))  # of these, as many may be common too
+    pairs = pairs.join(besides.select(F.col("node").alias("a"), F.col("many").alias("ha")), "a", "left").join(besides.select(F.col("node").alias("b"), F.col("many").alias("hb")), "b", "left")
+    common = F.col("common") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
     overlap = F.ceil((F.col("na") + F.col("nb")) * rule.num / (rule.num + rule.den))
-    pairs = pairs.where(F.col("common") >= F.when(F.col("ea") <= F.col("eb"), F.col("la") - F.col("na")).otherwise(F.col("lb") - F.col("nb")) + overlap).select("a", "b")
-
-    short = mixed.groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.col("gram") * 2 + (F.col("held") > SMALL).cast("long"))).alias("grams"))
-    short = short.where(F.size("grams") >= least(low)).join(known, "node")  # with fewer shared n-grams in all there is no partner
-    many = mixed.where(F.col("held") > SMALL).select("node", "gram", "held")
+    pairs = pairs.where(common >= F.when(F.col("ea") <= F.col("eb"), F.col("la") - F.col("na")).otherwise(F.col("lb") - F.col("nb")) + overlap).select("a", "b")
+
+    rest = least(low) - counted(least(low)) + 1  # what a pair that is not taken from there has in common of many holders, at least
+    short = short.where((F.size("x") >= least(low)) & (F.col("many") >= rest)).join(known, "node")
+    short = short.withColumn("key", F.slice(F.filter("x", lambda x: x["rare"] >= _MANY), F.lit(1), (F.col("many") - rest + 1).cast("int")))
+    short = store.materialise(short.select("node", "component", "n", "length", "last", F.col("x.gram").alias("grams"), F.col("x.rare").alias("rare"), F.col("key.gram").alias("key")), "keys")
+    blocks = short.select("node", F.explode("key").alias("gram"))
+    held = blocks.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")  # one left has no partner here
+    many = store.materialise(blocks.join(held, "gram"), "blocks")
     parts = F.ceil(F.col("held") / BLOCK).cast("int")
-    blocks = many.join(short, "node").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    blocks = blocks.select("gram", "node", "component", "n", "length", "last", "grams", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("with")).select("*", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"))
+    blocks = many.join(short.drop("key"), "node").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    blocks = blocks.select("gram", "node", "component", "n", "length", "last", "grams", "rare", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("with")).select("*", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"))
 
     def run(table: pa.Table) -> pa.Table:
         node, comp, n, part, length, last = (table.column(c).to_numpy() for c in ("node", "component", "n", "part", "length", "last"))
-        lists = table.column("grams").combine_chunks()
-        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        grams, rare = (pa.concat_arrays(table.column(c).chunks) for c in ("grams", "rare"))
+        place, token = _rarest_first(grams.flatten().to_numpy(), rare.flatten().to_numpy(), table.column("gram")[0].as_py())
         found = []
-        keep = _sharing(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), rule.common(rule.need(n)))
+        keep = _sharing(place, np.diff(grams.offsets.to_numpy()), rule.common(rule.need(n)))
         if keep is not None:
             grams, owner = keep
             who = np.unique(owner)
             cut = np.searchsorted(owner, np.append(who, len(node)))
             holders = [(int(node[i]), int(comp[i]), (int(n[i]), int(length[i]), int(last[i])), int(part[i]), grams[a:b].tolist()) for i, a, b in zip(who, cut[:-1], cut[1:], strict=True)]
-            found = trie_pairs(2 * table.column("gram")[0].as_py() + 1, holders, rule, table.column("p")[0] != table.column("q")[0])
+            found = trie_pairs(token, holders, rule, table.column("p")[0] != table.column("q")[0])
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return pairs.unionByName(blocks.groupBy("gram", "p", "q").applyInArrow(run, "a long, b long"))
