@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.workers import checkpoint_dir, reach_workers
+from tessera.sources.workers import checkpoint_dir, fresh_path, materialise, reach_workers
 
 
 __all__ = ["discard", "filesystem", "fresh_path", "local_path", "materialise", "reach_workers", "read_file", "shared_dir", "write_file"]
@@ -18,20 +18,6 @@ def shared_dir(spark: SparkSession) -> str:
     return checkpoint_dir(spark)
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends at files that outlive executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
 def discard(*written: DataFrame) -> None:
     """Remove tables of ``materialise`` that no later step reads, and let finished steps' shuffle files go.
 

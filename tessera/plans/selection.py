@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import is_prerelease, semver_key
 from tessera.functions.versions import pep440_matches, pep440_value
+from tessera.sources.workers import materialise
 
 
 def select_releases(requests: DataFrame, releases: DataFrame) -> DataFrame:
@@ -22,6 +23,7 @@ def select_releases(requests: DataFrame, releases: DataFrame) -> DataFrame:
     A package's newest releases are aggregates, so requests for newest ones read a row a package.
     """
     facts = releases.withColumns({"precedence": semver_key(F.col("vers")), "pre": is_prerelease(F.col("vers"))})
+    facts = materialise(facts, "releases")  # versions are read once, not for each use
     order = F.struct("precedence", "source_line")
     row = F.struct("vers", "source_line", "yanked")
 
@@ -36,10 +38,9 @@ def select_releases(requests: DataFrame, releases: DataFrame) -> DataFrame:
         newest(stable).alias("released"),
         newest(stable & mature).alias("usual"),
     )
-    asked = requests.where("requested IS NOT NULL").select("request_id", "package", "requested")
-    exact = asked.join(facts.where("precedence IS NOT NULL").withColumnRenamed("vers", "requested"), ["package", "requested"])
-    exact = exact.groupBy("request_id").agg(F.max_by(F.struct(F.col("requested").alias("vers"), "source_line", "yanked"), order).alias("exact"))
-    r = requests.join(per, "package", "left").join(exact, "request_id", "left")
+    # a row a version, so that no request meets each release of its version
+    exact = facts.where("precedence IS NOT NULL").groupBy("package", F.col("vers").alias("requested")).agg(F.max_by(row, order).alias("exact"))
+    r = requests.join(per, "package", "left").join(exact, ["package", "requested"], "left")
     chosen = F.when(F.col("allow_prerelease"), F.when(F.col("allow_yanked"), F.col("any")).otherwise(F.col("unyanked"))).otherwise(F.when(F.col("allow_yanked"), F.col("released")).otherwise(F.col("usual")))
     r = r.withColumn("picked", F.when(F.col("requested").isNotNull(), F.col("exact")).otherwise(chosen))
     published = F.coalesce("published_versions", F.lit(0))
@@ -52,9 +53,9 @@ def select_releases(requests: DataFrame, releases: DataFrame) -> DataFrame:
         .otherwise("selected")
     )
     r = r.withColumn("status", status)
-    near = neighbours(r.where("status = 'not_found'").select("request_id", "package", "requested"), facts)
+    near = neighbours(r.where("status = 'not_found'").select("package", "requested"), facts)
     got = F.col("status") == "selected"
-    return r.join(near, "request_id", "left").select(
+    return r.join(near, ["package", "requested"], "left").select(
         "request_id",
         "status",
         F.when(got, F.col("picked.vers")).alias("version"),
@@ -68,13 +69,25 @@ def select_releases(requests: DataFrame, releases: DataFrame) -> DataFrame:
 
 
 def neighbours(asked: DataFrame, facts: DataFrame) -> DataFrame:
-    """Of the three releases below and the three at or above each requested version the first five, in order."""
-    wanted = asked.withColumn("key", semver_key(F.col("requested")))
-    near = wanted.join(facts.where("precedence IS NOT NULL").select("package", "vers", "source_line", "precedence"), "package")
-    below = near.where(F.col("precedence") < F.col("key")).withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("precedence"), F.desc("source_line"))))
-    above = near.where(F.col("precedence") >= F.col("key")).withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy("precedence", "source_line")))
-    six = below.where("n <= 3").unionByName(above.where("n <= 3")).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("precedence", "source_line", "vers"))).alias("x"))
-    return six.select("request_id", F.slice(F.transform("x", lambda v: v["vers"]), 1, 5).alias("neighbours"))
+    """Per package and requested version the first five, in order, of the three releases below and the three at or above it.
+
+    Releases and requested versions are put in one order and every release is numbered, so a version
+    meets the six releases around its place and no others.  The order is dealt by ranges: a large package is many tasks.
+    """
+    wanted = asked.distinct().select("package", semver_key(F.col("requested")).alias("precedence"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("source_line"), F.col("requested").alias("vers"))
+    wanted = materialise(wanted, "wanted")
+    known = facts.where("precedence IS NOT NULL").select("package", "precedence", F.lit(1).alias("kind"), F.col("source_line").cast("long").alias("source_line"), "vers")
+    order = ["package", "precedence", "kind", "source_line"]
+    dealt = known.join(wanted.select("package").distinct(), "package", "left_semi").unionByName(wanted).repartitionByRange(*order)
+    dealt = materialise(dealt.withColumn("part", F.spark_partition_id()), "release-order")  # written, as ranges may differ when they are drawn again
+    within = F.sum("kind").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = dealt.groupBy("part").agg(F.sum("kind").alias("held")).select("part", before.alias("before"))  # a row a task
+    placed = dealt.withColumn("within", within).join(starts, "part").withColumn("place", F.col("before") + F.col("within"))
+    around = placed.where("kind = 0").select("package", F.col("vers").alias("requested"), F.explode(F.sequence(F.col("place") - 2, F.col("place") + 3)).alias("place"))
+    six = around.join(placed.where("kind = 1").select("package", "place", "vers"), ["package", "place"])
+    six = six.groupBy("package", "requested").agg(F.array_sort(F.collect_list(F.struct("place", "vers"))).alias("x"))
+    return six.select("package", "requested", F.slice(F.transform("x", lambda v: v["vers"]), 1, 5).alias("neighbours"))
 
 
 def wheel_fits(filename: Column, major: Column, minor: Column, target: Column) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reach_workers(spark: SparkSession) -> None:
@@ -35,3 +36,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current.isDefined():
         context.setCheckpointDir(found)
     return found
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that no other run uses."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends at files that outlive executors."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
